@@ -6,8 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_counts, token_files, warc
-from .common import Workspace, load
+from . import decontaminate, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, warc
+from .common import Workspace, held_out, load
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, "quality", ~held_out("doc_id", 3, 1))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    index = toxicity.build(docs, labels, "toxic", ~held_out("doc_id", 5, 0))
+    return toxicity.score(docs, index).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
     warc.write_archives(load(spark, sf_dir, "pages"), ws.path("archives"))
@@ -31,11 +43,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(load(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(spark, load(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(spark, load(spark, sf_dir, "documents"), n=3, per_cent=90)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_token_files": op3_token_files, "op5_warc": op5_warc, "op6_simhash": op6_simhash, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_quality": op1_quality, "op2_token_counts": op2_token_counts, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc,
+    "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_ngram_join": op9_ngram_join, "op10_packing": op10_packing,
+}
 
 #: Equal payloads of at least 100 bytes are one response and its revisits.
 OP5_SQL = """
@@ -48,4 +75,34 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLE_SQL = {"op5_warc": OP5_SQL}
+#: Words are runs of a-z, 0-9 and characters beyond ASCII once A-Z are lowered.  A window is a list of words.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item, least(10, len(w)) AS size, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS win FROM bw),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (SELECT rid, size, w, unnest(range(1, len(w) - size + 2)) AS pos FROM d, sizes WHERE len(w) >= size),
+occ AS (SELECT rid, dw.size, pos, item FROM dw JOIN win ON dw.size = win.size AND array_to_string(list_slice(dw.w, pos, pos + dw.size - 1), ' ') = win.win),
+hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(pos, pos + size)) AS p FROM occ) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+#: Sets of 3-word shingles; the links and what they reach.
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + least(3, len(w)) - 1), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * n_both >= 90 * (nx.n + ny.n - n_both)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x AS doc_id, y AS seen FROM edges UNION SELECT reach.doc_id, y FROM reach JOIN edges ON reach.seen = x),
+least_id AS (SELECT doc_id, min(seen) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_id ON d.doc_id = least_id.doc_id
+"""
+
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL}
