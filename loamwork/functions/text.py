@@ -7,7 +7,7 @@ search engine, only the match, limits and order are comparable.
 
 from __future__ import annotations
 
-import re
+import regex
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -30,7 +30,7 @@ class Analyzer:
         return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
 
     def query_terms(self, query: str) -> list[str]:
-        found = re.findall(self.pattern, query.lower())
+        found = regex.findall(self.pattern, query.lower())
         return sorted({x for x in found if x not in self.stop})
 
 
