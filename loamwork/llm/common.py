@@ -39,6 +39,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
+        self._files(self.root)[0].deleteOnExit(self._files(self.root)[1])  # with the application, as results may read it
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -48,10 +53,14 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of finished steps now; Spark does so when the JVM collects their plans."""
+        self.spark._jvm.System.gc()
+
     def drop(self, table: str) -> None:
         """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = self._files(self.path(table))
+        files.delete(at, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
