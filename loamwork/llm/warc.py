@@ -1,6 +1,6 @@
 """WARC archives: writing pages with deduplication and segmentation, and reassembling them.
 
-Archives are plain WARC/1.1 files written by Spark's text writer with the record terminator as line separator,
+Archives are gzipped WARC/1.1 files written by Spark's text writer with the record terminator as line separator,
 so they may lie in any store that Spark can write.  A long block is cut into segments: the first record carries
 WARC-Segment-Number 1, each continuation its number and WARC-Segment-Origin-ID, and the last the total length.
 Readers parse by Content-Length, group segments by origin, order them by number, check the numbers and the total
@@ -9,6 +9,7 @@ length, and undo the chunked transfer coding of the HTTP message within.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -113,11 +114,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     texts = marked.withColumn("id", F.col("id").cast("string")).mapInArrow(run, "value string")
-    texts.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    texts.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record of an archive."""
+    """Fields (names in lower case) and block of each record of an archive, plain or gzipped."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
