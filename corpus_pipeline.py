@@ -21,7 +21,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by 5-word shingles at a similarity of 0.8."""
+    """Keeps the document with the smallest id of each group linked by 5-word shingles at a similarity of 0.8.
+
+    Rows that repeat the kept id whole all stay, as do rows without an id: nothing says which of them to keep.
+    """
     groups = ngram_join.similar_documents(spark, docs, n=5, per_cent=80)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*docs.columns)

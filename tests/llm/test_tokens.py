@@ -12,7 +12,7 @@ from loamwork.llm import packing, token_counts, token_files
 from loamwork.llm.common import Workspace
 from loamwork.llm.units import UnitEncoder
 
-ODD = ["", "\n", " ", " \n", "\n\n a", "a", "a  b", " a", "  a  b \n c ", "ﬁ①x", "a\tb", "<s> hi </s>", "日本語 テキスト\n", "x \ny", "▁a ▁", "tt▁ x", "​", "a<|endoftext|> b <|endoftext|>  c", "'s 't it's I'LL", "á ́b Σ ΟΔΟΣ. İ", "\x1c a\x1cb  \xa0 c", "x" * 5000, "the and of " * 400]
+ODD = ["", "\n", " ", " \n", "\n\n a", "a", "a  b", " a", "  a  b \n c ", "ﬁ①x", "a\tb", "<s> hi </s>", "日本語 テキスト\n", "x \ny", "▁a ▁", "tt▁ x", "​", "a<|endoftext|> b <|endoftext|>  c", "'s 't it's I'LL", "á ́b Σ ΟΔΟΣ. İ", "\x1c a\x1cb  \xa0 c", "a\u180eb \u180e c\u200bd e\ufefff g\u2028h\u3000i", " \t a\tb", "a \u180eb\u200b c \u2060d", "x" * 5000, "the and of " * 400]
 
 
 def odd_texts(n=400):
