@@ -79,7 +79,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _bitmap(s: np.ndarray) -> bytes:
     words = 1
-    while words * 32 < len(s):
+    while words * 64 < len(s):
         words *= 2
     bits = np.zeros(words * 8, np.uint8)
     at = (s >> np.uint64(7)) & np.uint64(words * 64 - 1)
@@ -178,27 +178,29 @@ def _joined(rows: dict[str, list]) -> tuple[Groups, np.ndarray | None]:
     return groups, None if side[0] < 0 else side
 
 
-def _edges(made: list[tuple[int, int]], nodes: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in made], pa.int64()), pa.array([nodes[j] for _, j in made], pa.int64())], ["a", "b"])
+def _spokes(made: list[tuple[int, int]], groups: Groups, nodes: list[int]) -> list[tuple[int, int]]:
+    """Edges from each newly joined node to one node of its group, so that components have short ways."""
+    return list({(nodes[k], nodes[groups.find(k)]): None for pair in made for k in pair})
+
+
+def _batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], ["a", "b"])
 
 
 def _hashed_links(per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        out: list[tuple[int, int]] = []
         for rows in _by_group(batches, ["key", "i", "j"]):
             if len(rows["node"]) == 2:  # most groups: no tree is needed for one pair
                 if rows["label"][0] != rows["label"][1] and pair_allowed(*rows["bits"], *rows["size"], per_cent):
-                    a.append(rows["node"][0])
-                    b.append(rows["node"][1])
+                    out.append((rows["node"][0], rows["node"][1]))
             elif len(rows["node"]) > 2:
                 groups, side = _joined(rows)
-                for i, j in link_hashed(rows["bits"], np.array(rows["size"]), groups, per_cent, side):
-                    a.append(rows["node"][i])
-                    b.append(rows["node"][j])
-            if len(a) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                out += _spokes(link_hashed(rows["bits"], np.array(rows["size"]), groups, per_cent, side), groups, rows["node"])
+            if len(out) >= 4096:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
 
     return run
 
@@ -207,7 +209,8 @@ def _exact_links(n: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, ["key", "i", "j"]):
             groups, side = _joined(rows)
-            yield _edges(link_exact([shingle_set(x, n) for x in rows["text"]], groups, per_cent, side), rows["node"])
+            made = link_exact([shingle_set(x, n) for x in rows["text"]], groups, per_cent, side)
+            yield _batch(_spokes(made, groups, rows["node"]))
 
     return run
 
@@ -289,11 +292,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     # F.first of equal values: the partial aggregate leaves one row per set and task before the shuffle.
     nodes = sig.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), *any_of)
     nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    ws.release()
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
     met = ws.save(met, "met")
     shared = ws.save(keyed.join(met.select("key"), "key"), "shared")
 
+    ws.release()
     facts = nodes.select("node", "size", "bits")
     star = shared.join(met, "key").groupBy("node").agg(F.min("center").alias("center")).where("center < node")
     star = star.join(facts.select("node", F.col("size").alias("size_a"), F.col("bits").alias("bits_a")), "node")
@@ -303,12 +308,16 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     near = components(maybe, ws, "near-1")
 
     labelled = _relabel(shared, near)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low < high")
-    open_keys = ws.save(open_keys, "open-keys")
+    # Elements met by the same classes (those of a shared passage, say) are one group: the first stands for all.
+    open_keys = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    )
+    open_keys = ws.save(open_keys.where("low < high").groupBy("members", "x1", "x2").agg(F.min("key").alias("key")), "open-keys")
     open_rows = labelled.join(open_keys.select("key"), "key", "left_semi").join(facts, "node")
     more = _dealt(_in_blocks(open_rows, open_keys, BLOCK_HASHED, "all")).mapInArrow(_hashed_links(per_cent), "a long, b long")
     maybe = maybe.union(ws.save(more, "maybe-2"))
     candidates = components(maybe, ws, "near-2")
+    ws.release()
     candidates = candidates.withColumnRenamed("label", "key")
     sizes = ws.save(candidates.groupBy("key").agg(F.count("*").alias("members")), "candidate-sizes")
 
