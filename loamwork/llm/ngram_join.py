@@ -16,6 +16,7 @@ A large group is dealt to tasks as pairs of blocks; blocks that are one componen
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -293,10 +294,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     nodes = sig.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), *any_of)
     nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ws.release()
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    met = ws.save(met, "met")
-    shared = ws.save(keyed.join(met.select("key"), "key"), "shared")
+    # Of a similar pair the smaller set has the shared element early: within its size less the least overlap of sets
+    # of that size and up, which is 2t / (1 + t) of it.  Elements that no set has early can't bring a pair together.
+    early = F.col("at") <= F.floor(F.col("size") * (100 - per_cent) / (100 + per_cent))
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("node", "size", "key", early.alias("early"))
+    met = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members"), F.max("early").alias("any_early")).where("members > 1 AND any_early")
+    met = ws.save(met.select("key", "center", "members"), "met")
+    shared = ws.save(keyed.join(met.select("key"), "key", "left_semi"), "shared")
 
     ws.release()
     facts = nodes.select("node", "size", "bits")
@@ -308,12 +312,19 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     near = components(maybe, ws, "near-1")
 
     labelled = _relabel(shared, near)
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    # An element's sets by size class: similar sets lie in one class or in neighbouring ones, and the smaller, early one
+    # of a pair is met in its own class.
+    step = math.log(100 / per_cent) * 1.0001
+    place = F.floor(F.log("size") / step)
+    sized = labelled.join(open_keys, "key", "left_semi").select("node", "label", "key", F.explode(F.array(F.struct(place.alias("place"), F.col("early")), F.struct((place - 1).alias("place"), F.lit(False).alias("early")))).alias("x"))
+    sized = ws.save(sized.select(F.xxhash64("key", "x.place").alias("key"), "node", "label", "x.early"), "sized")
     # Elements met by the same classes (those of a shared passage, say) are one group: the first stands for all.
-    open_keys = labelled.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    groups = sized.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("early").alias("any_early"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
     )
-    open_keys = ws.save(open_keys.where("low < high").groupBy("members", "x1", "x2").agg(F.min("key").alias("key")), "open-keys")
-    open_rows = labelled.join(open_keys.select("key"), "key", "left_semi").join(facts, "node")
+    open_keys = ws.save(groups.where("low < high AND any_early").groupBy("members", "x1", "x2").agg(F.min("key").alias("key")), "open-keys")
+    open_rows = sized.drop("early").join(open_keys.select("key"), "key", "left_semi").join(facts, "node")
     more = _dealt(_in_blocks(open_rows, open_keys, BLOCK_HASHED, "all")).mapInArrow(_hashed_links(per_cent), "a long, b long")
     maybe = maybe.union(ws.save(more, "maybe-2"))
     candidates = components(maybe, ws, "near-2")
