@@ -15,10 +15,9 @@ from itertools import chain
 import numpy as np
 
 #: Units kept per worker; beyond it the later (rarer) ones are forgotten, which bounds memory.
-CACHE_UNITS = 400_000
-KEPT_UNITS = 200_000
+CACHE_UNITS = 900_000
+KEPT_UNITS = 600_000
 
-_RUN = re.compile("[ \n]{2}")
 _OTHER_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 _SEGMENT = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _BARE = "\x00"
@@ -78,13 +77,14 @@ class UnitEncoder:
         """Keys of the units: a leading line feed stays, a leading space is implied, _BARE marks a text's start."""
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
+        parts = text.split()
+        if parts and len(text) - len("".join(parts)) == len(parts) - 1 == text.count(" ") + text.count("\n") and _BARE not in text:
+            units = text.replace("\n", " \n").split(" ")  # all white space is lone spaces and line feeds within
+            units[0] = _BARE + units[0]
+            return units
         if _OTHER_SPACE.search(text) or _BARE in text:
             return None
-        if _RUN.search(text) or text[:1] in " \n" or text[-1:] in " \n":
-            return [_BARE + x for x in _SEGMENT.findall(text)]
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = _BARE + units[0]
-        return units
+        return [_BARE + x for x in _SEGMENT.findall(text)]
 
     def _source(self, unit: str) -> str:
         if self.drops_space or unit[:1] == "\n":
