@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is the terms whose presence goes with the label in the examples (a z-score of the difference of shares), so
-cosines compare what matters and not the topic.  The index holds the examples' normalised weights by term, and the
-largest weight of each term in each block of examples.  A query bounds every block by its terms' largest weights,
-scores blocks from the highest bound down, and stops where a bound can no longer reach the k-th best: the k nearest
-are exact.  Neighbours vote with their cosine; a logistic fit on leave-one-out votes calibrates the score.
+All terms of the examples are indexed.  A term's weight is its idf, times a factor that grows with how much its presence
+goes with the label in the examples (a z-score of the difference of shares), so cosines follow what matters more than
+the topic.  The index holds the examples' normalised weights by term, and the largest weight of each term in each block
+of examples.  A query bounds every block by its terms' largest weights, scores blocks from the highest bound down, and
+stops where a bound can no longer reach the k-th best: the k nearest are exact.  Neighbours vote with their cosine; a
+logistic fit on leave-one-out votes calibrates the score.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,11 @@ from .units import slices
 
 #: Bound of the labelled rows used as examples, of each label: the first by a hash of the id.
 EXAMPLES_EACH = 3_000
-TERMS, LEAST_Z = 512, 6.0
+#: Fewer examples than this say nothing about how a term goes with the label.
+LEAST_DF = 5
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
+#: Blocks scored first; then all that can still matter, at once.
+FIRST_BLOCKS = 8
 _WORD = re.compile(r"\w+")
 _MEMO = 1 << 16
 
@@ -34,6 +38,21 @@ def terms_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in a row."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def factors(df: np.ndarray, positive: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Weight factors (at least 1) of terms found in df of n examples, in `positive` of the n1 with label 1."""
+    n0 = n - n1
+    gap = positive / max(1, n1) - (df - positive) / max(1, n0)
+    pooled = df / max(1, n)
+    z = gap / np.sqrt(pooled * (1 - pooled) * (1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
+    return 1 + np.where((df >= LEAST_DF) & (min(n0, n1) > 0), np.round(z, 9) ** 2, 0)
+
+
 class Index:
     """Examples: (doc_id, label, counts of vocabulary terms).  weight: what an example of each label stands for."""
 
@@ -42,54 +61,60 @@ class Index:
         self.ids = [i for i, _, _ in examples]
         self.labels = np.array([y for _, y, _ in examples], np.int64)
         self.mass = np.array(weight)[self.labels] if len(examples) else np.zeros(0)
-        df = np.zeros(len(vocabulary))
-        for _, _, counts in examples:
-            for t in counts:
-                df[self.number[t]] += 1
-        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.empty = np.array([not c for _, _, c in examples], bool)
-        for at, (_, _, counts) in enumerate(examples):
-            for t, w in self.vector(counts).items():
-                postings[t].append((at, w))
-        blocks = -(-len(examples) // BLOCK)
-        self.largest = np.zeros((len(vocabulary), max(1, blocks)))
-        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for t in range(len(vocabulary)):
-            at = np.array([a for a, _ in postings[t]], np.int64)
-            w = np.array([x for _, x in postings[t]])
-            np.maximum.at(self.largest[t], at // BLOCK, w)
-            self.postings.append((at, w, np.searchsorted(at, np.arange(max(1, blocks) + 1) * BLOCK)))
-        self.memo: dict[tuple, tuple] = {}
-        base = self.mass[self.empty]
-        self.base = float((base * self.labels[self.empty]).sum() / base.sum()) if base.sum() else float((self.mass * self.labels).sum() / self.mass.sum()) if self.mass.sum() else 0.0
+        numbers = [np.array([self.number[t] for t in c], np.int64) for _, _, c in examples]
+        term, at = np.concatenate([*numbers, np.zeros(0, np.int64)]), np.repeat(np.arange(len(examples)), [len(x) for x in numbers])
+        df = np.bincount(term, minlength=len(vocabulary))
+        positive = np.bincount(term, self.labels[at], len(vocabulary))
+        self.weight = (np.log((1 + len(examples)) / (1 + df)) + 1) * factors(df, positive, len(examples), int(self.labels.sum()))
+        vectors = [self.vector(c) for _, _, c in examples]
+        w = np.array([x for v in vectors for x in v.values()])
+        term = np.array([t for v in vectors for t in v], np.int64)
+        order = np.lexsort((at, term))
+        term, self.at, self.w = term[order], at[order], w[order]
+        # A segment is the postings of a term in a block.
+        self.blocks = max(1, -(-len(examples) // BLOCK))
+        key = term * self.blocks + self.at // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.cuts = np.append(first, len(key))
+        self.block = (key[first] % self.blocks).astype(np.int64)
+        self.largest = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0)
+        self.segments = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        self.memo: dict[bytes, tuple] = {}
+        self.base = float((self.mass * self.labels).sum() / self.mass.sum()) if self.mass.sum() else 0.0
         self.slope, self.offset = 1.0, 0.0
         self._calibrate([c for _, _, c in examples])
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        raw = {self.number[t]: (1 + np.log(n)) * self.idf[self.number[t]] for t, n in sorted(counts.items())}
-        length = np.sqrt(sum(x * x for x in raw.values()))
-        return {t: float(x / length) for t, x in raw.items()}
+        ordered = sorted((self.number[t], n) for t, n in counts.items())
+        numbers = [t for t, _ in ordered]
+        raw = (1 + np.log(np.array([n for _, n in ordered], float))) * self.weight[np.array(numbers, np.int64)]
+        return dict(zip(numbers, (raw / np.sqrt((raw * raw).sum())).tolist(), strict=True))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines (rounded to 12 digits; ties go to the earlier example)."""
-        terms = list(query)
-        bounds = sum((query[t] * self.largest[t] for t in terms), np.zeros(self.largest.shape[1])) + 1e-9
+        terms, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        low, high = self.segments[terms], self.segments[terms + 1]
+        own = _spans(low, high)
+        q, block = np.repeat(q, high - low), self.block[own]
+        bounds = np.bincount(block, q * self.largest[own], self.blocks) + 1e-9
+        order = np.argsort(-bounds, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 1e-9 or len(best) == k and bounds[block] < best[-1]:
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            least = best[-1] if len(best) == k else 0.0
+            part = part[bounds[part] > max(least, 1e-9)]
+            if not len(part):
                 break
-            own = np.zeros(BLOCK)
-            for t in terms:
-                at, w, cuts = self.postings[t]
-                part = slice(cuts[block], cuts[block + 1])
-                own[at[part] - block * BLOCK] += query[t] * w[part]
-            here = np.flatnonzero(own > 0)
-            places = here + block * BLOCK
-            here, places = here[places != without], places[places != without]
-            at, cosine = np.concatenate([best_at, places]), np.concatenate([best, np.round(own[here], 12)])
-            order = np.lexsort((at, -cosine))[:k]
-            best_at, best = at[order], cosine[order]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            here = np.flatnonzero(chosen[block])
+            low, high = self.cuts[own[here]], self.cuts[own[here] + 1]
+            place = _spans(low, high)
+            cosine = np.bincount(self.at[place], np.repeat(q[here], high - low) * self.w[place], len(self.ids))
+            places = np.flatnonzero(cosine > max(0.0, least - 1e-9))
+            places = places[places != without]
+            at, cosine = np.concatenate([best_at, places]), np.concatenate([best, np.round(cosine[places], 12)])
+            top = np.lexsort((at, -cosine))[:k]
+            best_at, best = at[top], cosine[top]
         return best_at, best
 
     def _votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -123,10 +148,10 @@ class Index:
 
     def score(self, text: str) -> tuple[float, list[int]]:
         """The calibrated score and the ids of the nearest examples."""
-        counts = Counter(t for t in terms_of(text) if t in self.number)
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(text.encode())
         known = self.memo.get(key)
         if known is None:
+            counts = {t: n for t, n in Counter(terms_of(text)).items() if t in self.number}
             at, cosine = self.nearest(self.vector(counts), NEIGHBOURS) if counts else (np.zeros(0, np.int64), np.zeros(0))
             votes = self._votes(at, cosine) if len(at) else self.base
             p = float(1 / (1 + np.exp(-(self.slope * self._logit(votes) + self.offset))))
@@ -141,7 +166,7 @@ def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
     """The index of the labelled rows of docs where `usable` (a condition on labels) holds, at most `each` per label.
 
     Null ids and labels are left out; an id with several labels counts as its largest.  The sample is bounded, so
-    it is broadcast to find its texts; term counts come to the driver.  Near copies (equal smallest hash of five
+    it is broadcast to find its texts; all its term counts come to the driver.  Near copies (equal smallest hash of five
     words in a row) of one label are one example, so no group of copies outvotes the rest.  Without examples every score is 0.
     """
     all_labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
@@ -159,25 +184,24 @@ def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = texts.mapInArrow(run, f"label_id {kind}, y int, least long, counts map<string,long>")
-    # First the terms (their document counts by label), then the examples over the chosen terms alone.
     one = counted.groupBy("y", "least").agg(F.min_by("counts", "label_id").alias("counts"), F.min("label_id").alias("label_id"))
-    df = one.select("y", F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 5")
-    sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    pooled = (F.col("a") + F.col("b")) / F.lit(float(max(1, n1 + n0)))
-    gap = F.col("a") / F.lit(float(max(1, n1))) - F.col("b") / F.lit(float(max(1, n0)))
-    z = F.abs(gap) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + 1e-12)
-    vocabulary = [r["term"] for r in df.withColumn("z", F.round(z, 9)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()]
-    wanted = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    kept = one.select("label_id", "y", F.map_filter("counts", lambda t, _: F.array_contains(wanted, t)).alias("counts")).collect()
-    examples = sorted(((r["label_id"], r["y"], dict(r["counts"])) for r in kept), key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), str(x[0])))
+    table = one.select("label_id", "y", F.map_keys("counts").alias("terms"), F.map_values("counts").alias("n")).toArrow()
+    terms = table.column("terms").combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    names, codes, n = coded.dictionary.to_pylist(), coded.indices.to_numpy(), table.column("n").combine_chunks().flatten().to_numpy()
+    cuts = np.cumsum([0, *terms.value_lengths().to_pylist()]).tolist()
+    ids, ys = table.column("label_id").to_pylist(), table.column("y").to_pylist()
+    examples = [(i, y, {names[c]: x for c, x in zip(codes[a:b].tolist(), n[a:b].tolist(), strict=True)}) for i, y, a, b in zip(ids, ys, cuts, cuts[1:], strict=False)]
+    examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), str(x[0])))
+    vocabulary, n1, n0 = sorted(names), sum(ys), len(ys) - sum(ys)
     return Index(vocabulary, examples, (totals.get(0, 0) / max(1, n0), totals.get(1, 0) / max(1, n1)))
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, predicted (1 if score >= 0.5) and evidence (ids of the nearest examples) of each row of docs.
 
-    A text without known terms, the null and the empty one too, gets the rate of such examples and no evidence.
+    A text that shares no term with any example, the null and the empty one too, gets a constant (by the rate of the
+    label) and no evidence.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -81,6 +81,16 @@ def test_nearest_examples_are_exact():
         assert np.allclose(found, cosine[want]) and (at == want).mean() > 0.9
 
 
+def test_every_term_of_the_examples_counts(spark):
+    rng = random.Random(11)
+    texts = [words(rng, 20) + f" common own{k}" for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, "own7 unseen"), (101, "unseen")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    found = {r["doc_id"]: list(r["evidence"]) for r in toxicity.score(docs, toxicity.build(docs, labels, "toxic", F.lit(True))).collect()}
+    assert all(found[k][0] == k for k in range(40))
+    assert found[100] == [7] and found[101] == []
+
+
 # Decontamination
 
 
