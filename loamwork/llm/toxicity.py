@@ -30,6 +30,10 @@ LEAST_DF = 5
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
 #: Blocks scored first; then all that can still matter, at once.
 FIRST_BLOCKS = 8
+#: So many of the terms that more than 1 in 16 examples have also lie as dense rows, for queries that need most blocks.
+DENSE_ROWS = 512
+#: Examples of one label whose sets of five words in a row are at least 4/5 alike (Jaccard) are one.
+SHINGLE, ALIKE = 5, (4, 5)
 _WORD = re.compile(r"\w+")
 _MEMO = 1 << 16
 
@@ -66,9 +70,9 @@ class Index:
         df = np.bincount(term, minlength=len(vocabulary))
         positive = np.bincount(term, self.labels[at], len(vocabulary))
         self.weight = (np.log((1 + len(examples)) / (1 + df)) + 1) * factors(df, positive, len(examples), int(self.labels.sum()))
-        vectors = [self.vector(c) for _, _, c in examples]
-        w = np.array([x for v in vectors for x in v.values()])
-        term = np.array([t for v in vectors for t in v], np.int64)
+        vectors = [self._weights(c) for _, _, c in examples]
+        term, w = np.concatenate([*(t for t, _ in vectors), term[:0]]), np.concatenate([*(x for _, x in vectors), np.zeros(0)])
+        del vectors, numbers
         order = np.lexsort((at, term))
         term, self.at, self.w = term[order], at[order], w[order]
         # A segment is the postings of a term in a block.
@@ -79,24 +83,54 @@ class Index:
         self.block = (key[first] % self.blocks).astype(np.int64)
         self.largest = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0)
         self.segments = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        self.ptr = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        often = np.argsort(-df, kind="stable")[:DENSE_ROWS]
+        often = often[df[often] * 16 > len(examples)]
+        self.row = np.full(len(vocabulary), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense: np.ndarray | None = None
         self.memo: dict[bytes, tuple] = {}
         self.base = float((self.mass * self.labels).sum() / self.mass.sum()) if self.mass.sum() else 0.0
         self.slope, self.offset = 1.0, 0.0
         self._calibrate([c for _, _, c in examples])
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "memo": {}}
+
+    def _weights(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.fromiter((self.number[t] for t in counts), np.int64, len(counts))
+        order = np.argsort(numbers)
+        numbers = numbers[order]
+        raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.weight[numbers]
+        return numbers, raw / np.sqrt((raw * raw).sum())
+
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        ordered = sorted((self.number[t], n) for t, n in counts.items())
-        numbers = [t for t, _ in ordered]
-        raw = (1 + np.log(np.array([n for _, n in ordered], float))) * self.weight[np.array(numbers, np.int64)]
-        return dict(zip(numbers, (raw / np.sqrt((raw * raw).sum())).tolist(), strict=True))
+        numbers, w = self._weights(counts)
+        return dict(zip(numbers.tolist(), w.tolist(), strict=True))
+
+    def _cosines(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosines of all examples."""
+        if self.dense is None:
+            self.dense = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.ids)))
+            for t in np.flatnonzero(self.row >= 0).tolist():
+                part = slice(self.ptr[t], self.ptr[t + 1])
+                self.dense[self.row[t], self.at[part]] = self.w[part]
+        row = self.row[terms]
+        rare = row < 0
+        low, high = self.ptr[terms[rare]], self.ptr[terms[rare] + 1]
+        place = _spans(low, high)
+        out = np.bincount(self.at[place], np.repeat(q[rare], high - low) * self.w[place], len(self.ids)).astype(float)  # no rare terms give whole numbers
+        for r, x in zip(row[~rare].tolist(), q[~rare].tolist(), strict=True):
+            out += x * self.dense[r]
+        return out
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines (rounded to 12 digits; ties go to the earlier example)."""
         terms, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
         low, high = self.segments[terms], self.segments[terms + 1]
         own = _spans(low, high)
-        q, block = np.repeat(q, high - low), self.block[own]
-        bounds = np.bincount(block, q * self.largest[own], self.blocks) + 1e-9
+        each, block = np.repeat(q, high - low), self.block[own]
+        bounds = np.bincount(block, each * self.largest[own], self.blocks) + 1e-9
         order = np.argsort(-bounds, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
@@ -104,17 +138,23 @@ class Index:
             part = part[bounds[part] > max(least, 1e-9)]
             if not len(part):
                 break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            here = np.flatnonzero(chosen[block])
-            low, high = self.cuts[own[here]], self.cuts[own[here] + 1]
-            place = _spans(low, high)
-            cosine = np.bincount(self.at[place], np.repeat(q[here], high - low) * self.w[place], len(self.ids))
+            everything = len(part) * 2 > self.blocks
+            if everything:
+                best_at, best, cosine = best_at[:0], best[:0], self._cosines(terms, q)
+            else:
+                chosen = np.zeros(self.blocks, bool)
+                chosen[part] = True
+                here = np.flatnonzero(chosen[block])
+                low, high = self.cuts[own[here]], self.cuts[own[here] + 1]
+                place = _spans(low, high)
+                cosine = np.bincount(self.at[place], np.repeat(each[here], high - low) * self.w[place], len(self.ids))
             places = np.flatnonzero(cosine > max(0.0, least - 1e-9))
             places = places[places != without]
             at, cosine = np.concatenate([best_at, places]), np.concatenate([best, np.round(cosine[places], 12)])
             top = np.lexsort((at, -cosine))[:k]
             best_at, best = at[top], cosine[top]
+            if everything:
+                break
         return best_at, best
 
     def _votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -162,12 +202,42 @@ class Index:
         return known
 
 
+def distinct(ids: list, labels: list[int], shingles: list[np.ndarray]) -> list[int]:
+    """Places of the examples that stay: in order of the id, those at least ALIKE to no earlier one that stays, of their
+    label.  Each merge is decided by the whole sets (unique numbers).  Alike sets share one of the rarest elements of
+    each, by which pairs are found.
+    """
+    part, whole = ALIKE
+    values, inverse, df = np.unique(np.concatenate([*shingles, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(values))
+    ends = np.cumsum([0, *(len(x) for x in shingles)])
+    sets = [np.sort(rank[inverse[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    owners: dict[tuple[int, int], list[int]] = {}
+    stay = []
+    for at in sorted(range(len(ids)), key=lambda k: (ids[k], sets[k].tolist())):
+        own = sets[at]
+        n = len(own)
+        prefix = [(labels[at], x) for x in own[: n - -(-part * n // whole) + 1].tolist()]
+        for other in sorted({k for x in prefix for k in owners.get(x, ())}):
+            m = len(sets[other])
+            if whole * min(n, m) >= part * max(n, m):
+                both = len(np.intersect1d(own, sets[other], assume_unique=True))
+                if whole * both >= part * (n + m - both):
+                    break
+        else:
+            stay.append(at)
+            for x in prefix:
+                owners.setdefault(x, []).append(at)
+    return stay
+
+
 def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int = EXAMPLES_EACH) -> Index:
     """The index of the labelled rows of docs where `usable` (a condition on labels) holds, at most `each` per label.
 
     Null ids and labels are left out; an id with several labels counts as its largest.  The sample is bounded, so
-    it is broadcast to find its texts; all its term counts come to the driver.  Near copies (equal smallest hash of five
-    words in a row) of one label are one example, so no group of copies outvotes the rest.  Without examples every score is 0.
+    it is broadcast to find its texts; all its term counts come to the driver.  Near copies of one label are one example
+    (see distinct), so no group of copies outvotes the rest; their sets of shingles come to the driver too.  Without examples every score is 0.
     """
     all_labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in all_labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -179,21 +249,25 @@ def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
         for batch in batches:
             terms = [terms_of(t) for t in batch.column(2).to_pylist()]
             counts = [Counter(t) for t in terms]
-            least = [min(xxhash.xxh64_intdigest(" ".join(t[k : k + 5])) >> 1 for k in range(max(1, len(t) - 4))) for t in terms]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], ["label_id", "y", "least", "counts"])
+            shingles = [list({xxhash.xxh64_intdigest(" ".join(t[k : k + SHINGLE])) - (1 << 63) for k in range(max(1, len(t) - SHINGLE + 1))}) for t in terms]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shingles, pa.list_(pa.int64())), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["label_id", "y", "shingles", "terms", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = texts.mapInArrow(run, f"label_id {kind}, y int, least long, counts map<string,long>")
-    one = counted.groupBy("y", "least").agg(F.min_by("counts", "label_id").alias("counts"), F.min("label_id").alias("label_id"))
-    table = one.select("label_id", "y", F.map_keys("counts").alias("terms"), F.map_values("counts").alias("n")).toArrow()
+    table = texts.mapInArrow(run, f"label_id {kind}, y int, shingles array<long>, terms array<string>, n array<long>").toArrow().combine_chunks()
+    ids, ys = table.column("label_id").to_pylist(), table.column("y").to_pylist()
+    lists = table.column("shingles").combine_chunks()
+    cuts = np.cumsum([0, *lists.value_lengths().to_pylist()])
+    flat = lists.flatten().to_numpy()
+    order = distinct(ids, ys, [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
     terms = table.column("terms").combine_chunks()
     coded = terms.flatten().dictionary_encode()
     names, codes, n = coded.dictionary.to_pylist(), coded.indices.to_numpy(), table.column("n").combine_chunks().flatten().to_numpy()
-    cuts = np.cumsum([0, *terms.value_lengths().to_pylist()]).tolist()
-    ids, ys = table.column("label_id").to_pylist(), table.column("y").to_pylist()
-    examples = [(i, y, {names[c]: x for c, x in zip(codes[a:b].tolist(), n[a:b].tolist(), strict=True)}) for i, y, a, b in zip(ids, ys, cuts, cuts[1:], strict=False)]
-    examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), str(x[0])))
-    vocabulary, n1, n0 = sorted(names), sum(ys), len(ys) - sum(ys)
+    cuts = np.cumsum([0, *terms.value_lengths().to_pylist()])
+    examples = [(ids[k], ys[k], {names[c]: x for c, x in zip(codes[cuts[k] : cuts[k + 1]].tolist(), n[cuts[k] : cuts[k + 1]].tolist(), strict=True)}) for k in order]
+    examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), str(x[0]), sorted(x[2].items())))
+    vocabulary = sorted({t for _, _, c in examples for t in c})
+    n1 = sum(y for _, y, _ in examples)
+    n0 = len(examples) - n1
     return Index(vocabulary, examples, (totals.get(0, 0) / max(1, n0), totals.get(1, 0) / max(1, n1)))
 
 

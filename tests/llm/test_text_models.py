@@ -91,6 +91,25 @@ def test_every_term_of_the_examples_counts(spark):
     assert found[100] == [7] and found[101] == []
 
 
+def test_only_verified_copies_merge(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    texts = [f"{passage} {' '.join(f'own{k}x{j}' for j in range(40))}" for k in range(12)]
+    texts += [texts[0] + " tail", texts[1].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, toxic int")
+    index = toxicity.build(docs, labels, "toxic", F.lit(True))
+    assert sorted(index.ids) == list(range(12))
+    sets = [np.array(rng.sample(range(40), rng.randint(1, 30))) for _ in range(300)]
+    sets += [np.array([x for x in s if rng.random() < 0.95] or [0]) for s in sets]
+    labels = [rng.randint(0, 1) for _ in sets]
+    stay = []
+    for k, s in enumerate(sets):
+        if not any(labels[j] == labels[k] and 5 * len({*s} & {*sets[j]}) >= 4 * len({*s} | {*sets[j]}) for j in stay):
+            stay.append(k)
+    assert toxicity.distinct(list(range(len(sets))), labels, sets) == stay
+
+
 # Decontamination
 
 
