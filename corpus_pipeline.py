@@ -32,7 +32,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the benchmark's passages from the texts."""
-    return decontaminate.remove_passages(docs, load(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_passages(docs, load(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

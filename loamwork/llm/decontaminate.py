@@ -34,12 +34,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TO_WORDS).split()
 
 
+def _in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class Windows:
     """The windows of a block of items: rows of word numbers by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        of: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if numbers:
@@ -49,10 +53,10 @@ class Windows:
         by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for x in of:
             by_length[len(x)].append(x)
-        self.groups = [(size, np.array(rows, np.int64), [sorted(of[x]) for x in rows]) for size, rows in sorted(by_length.items())]
+        self.groups = [(size, np.array(rows, np.int64), [_in_order(of[x]) for x in rows]) for size, rows in sorted(by_length.items())]
         self.shortest = min(by_length, default=0)
 
-    def scan(self, texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, set[str]]]:
+    def scan(self, texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, set[str | None]]]:
         """For each document (a list of words): which words are hit, and the items with windows in it."""
         sizes = np.array([len(x) for x in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -69,7 +73,7 @@ class Windows:
         long = finish - begin >= max(self.shortest, 1)
         begin, finish = begin[long], finish[long]
         change = np.zeros(total + 1, np.int64)
-        items: list[set[str]] = [set() for _ in texts]
+        items: list[set[str | None]] = [set() for _ in texts]
         if len(begin):
             spans = finish - begin + 1
             ends = np.cumsum(spans)
@@ -96,14 +100,17 @@ class Windows:
             yield hit[a : a + n], own
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items as (id, text) lists of at most about BLOCK_BYTES each; an item longer than that is a block."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[list[tuple[str | None, str]]]:
+    """Items as (id, text) lists of at most about BLOCK_BYTES each; an item longer than that is a block.
+
+    unnamed: whether items without an id are among them.
+    """
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), text_or_empty(text_col).alias("t"))
     total = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = 1 + total // BLOCK_BYTES
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r["i"], r["t"]) for r in own.collect() if r["i"] is not None]
+        yield [(r["i"], r["t"]) for r in own.collect() if unnamed or r["i"] is not None]
 
 
 def _ranges(hit: np.ndarray) -> np.ndarray:
@@ -111,17 +118,17 @@ def _ranges(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, unnamed: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_words, hits (merged word ranges, flat: first, beyond last, ...), items (ids as
     strings, sorted)[, kept columns, the text among them as doc_text].
 
-    Null and empty texts have no words; null item texts have no windows and items without an id are left out;
-    items that repeat an id count once; null ids and repeated rows of docs stay; no rows give no rows.
+    Null and empty texts have no words; null item texts have no windows and items without an id are left out
+    or, if `unnamed`, hit words under one null name (the last of the items); items that repeat an id count once; null ids and repeated rows of docs stay; no rows give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     state = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("doc_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = f"doc_id {kind}, doc_text string, n_words long, hits array<long>, items array<string>"
-    for items in _blocks(benchmark, item_col, item_text_col):
+    for items in _blocks(benchmark, item_col, item_text_col, unnamed):
         windows = Windows(items, window)
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
@@ -135,16 +142,19 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         for x, y in zip(old[::2], old[1::2], strict=True):
                             hit[x:y] = True
                         hits.append(_ranges(hit))
-                        found.append(sorted({*names, *own}))
+                        found.append(_in_order({*names, *own}))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("doc_text"), pa.array([len(x) for x in words], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "doc_text", "n_words", "hits", "items"])
 
         state = state.mapInArrow(run, schema)
     return state
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see find_windows."""
-    found = find_windows(docs, benchmark)
+def contamination(docs: DataFrame, benchmark: DataFrame, unnamed: bool = False) -> DataFrame:
+    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see find_windows.
+
+    A null name counts in n_items and is not in items_sha256.
+    """
+    found = find_windows(docs, benchmark, unnamed=unnamed)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: x - a)  # ranges alternate, so the signs work out
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -163,14 +173,14 @@ def cut_ranges(text: str, hits: list[int]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """docs with the benchmark's passages cut from the texts; same columns and rows, null texts stay null.
 
-    Documents keep what surrounds a passage; one that is nothing else is left with an empty text or bare marks.
+    unnamed: whether items without an id count.  Documents keep what surrounds a passage; one that is nothing else is left with an empty text or bare marks.
     """
     schema = docs.schema
     cut_docs = docs
-    for items in _blocks(benchmark, "item_id", "text"):
+    for items in _blocks(benchmark, "item_id", "text", unnamed):
         windows = Windows(items)
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:

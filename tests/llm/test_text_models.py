@@ -183,6 +183,23 @@ def test_contamination(spark, monkeypatch):
     assert decontaminate.contamination(d, b.where("false")).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_count(spark, tmp_path):
+    from loamwork.llm import queries
+
+    spark.createDataFrame([(1, "a b c d"), (2, "x b x"), (3, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "b c"), (None, "d"), (7, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    for x in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {x} AS SELECT * FROM read_parquet('{tmp_path}/{x}.parquet/*.parquet')")
+    assert got == {r[0]: tuple(r[1:]) for r in con.execute(queries.OP8_SQL).fetchall()}
+    assert got[1][:3] == (4, 4, 2) and not got[2][-1]
+    docs, items = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "benchmark"))
+    assert [r["text"] for r in decontaminate.remove_passages(docs, items, unnamed=True).orderBy("doc_id").collect()] == ["", "x b x", "z"]
+
+
 def test_cut_ranges():
     assert decontaminate.cut_ranges("A b, c! d é", [1, 3]) == "A ! d é" and decontaminate.cut_ranges("a b", [0, 2]) == ""
 
