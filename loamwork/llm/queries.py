@@ -33,7 +33,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
-    warc.write_archives(load(spark, sf_dir, "pages"), ws.path("archives"))
+    warc.write_archives(load(spark, sf_dir, "pages"), ws.path("archives"), each_row=True)
     files = spark.read.format("binaryFile").load(ws.path("archives"))
     pages = warc.read_archives(files)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))

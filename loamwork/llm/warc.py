@@ -75,10 +75,11 @@ def _clean(url: str | None) -> str:
     return "".join(x for x in url or "" if x >= " ")
 
 
-def records(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> Iterator[str]:
-    """The records of a page, each without its terminator."""
-    origin = f"<urn:page:{page_id}>"
-    fields = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", len(payload))]
+def records(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, row: int | None = None) -> Iterator[str]:
+    """The records of a page, each without its terminator.  row: a number of its own for each row, part of the names."""
+    name = f"page:{page_id}" if row is None else f"page-null:{row}" if page_id is None else f"page-row:{row}:{page_id}"
+    origin = f"<urn:{name}>"
+    fields = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), *([] if page_id is None else [("WARC-Page-ID", page_id)]), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", len(payload))]
     if refers_to is not None:
         yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
         return
@@ -91,29 +92,31 @@ def records(page_id: str, url: str | None, payload: bytes, digest: str, refers_t
         if n == 1:
             yield _record([("WARC-Type", "response"), ("WARC-Record-ID", origin), *fields, *more, ("Content-Type", "application/http; msgtype=response")], part)
         else:
-            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{n}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", origin), *more], part)
+            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:{name}:{n}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", origin), *more], part)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", each_row: bool = False) -> None:
     """Writes a WARC record (or its segments) per row of pages under `path`.
 
     Of equal payloads of at least LEAST_REVISIT bytes the row with the smallest id is the response and the others
     are revisits of it.  A null html is an empty payload, a null url an empty field; a null id raises an error,
     as a record needs its name.  Rows that repeat an id whole are one record; ids with different pages raise an
-    error when they are read.  Other columns are ignored; an empty table gives an archive without records.
+    error when they are read.  With `each_row` every row is a page of its own, those that repeat an id and those with a
+    null id too; WARC-Refers-To then names the page (WARC-Page-ID), as several records may have it.  Other columns are ignored; an empty table gives an archive without records.
     The payloads don't move: only digests are grouped, and their copies are counted before the shuffle.
     """
-    key = F.when(F.col(id_col).isNotNull(), F.col(id_col)).otherwise(F.raise_error(F.lit("page_id is null")))
+    key = F.col(id_col) if each_row else F.when(F.col(id_col).isNotNull(), F.col(id_col)).otherwise(F.raise_error(F.lit("page_id is null")))
     rows = pages.select(key.alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first")
     marked = rows.join(first, F.col("digest") == F.col("same"), "left").select("id", "url", "html", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x for i, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in records(i, url, html.encode(), digest, refers)]
+            out = [x for i, url, html, digest, refers, row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in records(i, url, html.encode(), digest, refers, row)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    texts = marked.withColumn("id", F.col("id").cast("string")).mapInArrow(run, "value string")
+    row = F.monotonically_increasing_id() if each_row else F.lit(None).cast("long")
+    texts = marked.withColumn("id", F.col("id").cast("string")).withColumn("row", row).mapInArrow(run, "value string")
     texts.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -136,7 +139,10 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(name: str | None) -> str | None:
-    return None if name is None else name.removeprefix("<urn:page:").removesuffix(">")
+    if name is None or name.startswith("<urn:page-null:"):
+        return None
+    name = name.removesuffix(">")
+    return name.split(":", 3)[3] if name.startswith("<urn:page-row:") else name.removeprefix("<urn:page:")
 
 
 def _described(fields: dict[str, str], block: bytes, keep: bool) -> dict:

@@ -42,6 +42,20 @@ def test_edges(spark):
         through(spark, frame(spark, [(None, "u", "p")]))
 
 
+def test_each_row_is_a_page(spark, tmp_path):
+    import duckdb
+
+    from loamwork.llm import queries
+
+    long = "€" * 20_000
+    rows = [(1, "u", "p" * 200)] * 3 + [(2, "u", long), (2, "u", long + "x"), (2, "v", "p" * 200), (None, "u", "q"), (None, "u", "q"), (None, "u", long), (5, None, None), (6, "u", long)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op5_warc(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert len(got) == len(rows) and sorted(got, key=str) == sorted(con.execute(queries.OP5_SQL).fetchall(), key=str)
+
+
 def test_broken_archives_raise(spark, tmp_path):
     payload = b"q" * 40_000
     whole = list(warc.records("7", "u", payload, hashlib.sha256(payload).hexdigest(), None))
