@@ -20,16 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
-from .units import encoder, slices
+from .units import column_slices, encoder, with_end
 
 HASHED, DIMENSIONS, BITS = 512, 4, 12
+#: Documents whose bags are held at a time.
+DOCS_AT_ONCE = 1024
 _SIGNS = np.random.default_rng(20_240_613).choice([-1.0, 1.0], (HASHED, DIMENSIONS)) / sqrt(HASHED)
 
 
-def project(ids: np.ndarray) -> np.ndarray:
-    """The document's place: its unit-length hashed bag of ids under the fixed signs (zero for no ids)."""
-    bag = np.sqrt(np.bincount((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 9)).astype(np.int64), minlength=HASHED))
-    return bag @ _SIGNS / max(np.linalg.norm(bag), 1e-12)
+def project(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each document's place: its unit-length hashed bag of ids under the fixed signs (zero for no ids)."""
+    bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 9)).astype(np.int64)
+    out, starts = np.zeros((len(ends), DIMENSIONS)), np.append(0, ends[:-1])
+    for a in range(0, len(ends), DOCS_AT_ONCE):
+        b = min(len(ends), a + DOCS_AT_ONCE)
+        own = bucket[starts[a] : ends[b - 1]] + np.repeat(np.arange(b - a) * HASHED, ends[a:b] - starts[a:b])
+        bags = np.sqrt(np.bincount(own, minlength=(b - a) * HASHED).reshape(b - a, HASHED))
+        out[a:b] = bags @ _SIGNS / np.maximum(np.linalg.norm(bags, axis=1, keepdims=True), 1e-12)
+    return out
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,15 +75,16 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids = [x + end for x in enc.ids(texts[a:b])]
-                arrays = [np.frombuffer(x, enc.dtype) for x in ids]
-                at = np.array([project(x) for x in arrays])
+            for a, b in column_slices(batch.column(1)):
+                flat, ends = with_end(*enc.ids(batch.column(1).slice(a, b - a)), end_id)
+                at = project(flat, ends)
+                size = enc.dtype.itemsize
+                bounds = pa.py_buffer((np.append(0, ends) * size).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, bounds, pa.py_buffer(flat)])
+                ties = [zlib.crc32(flat[x:y]) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(x) for x in arrays], pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), *[pa.array(at[:, k]) for k in range(DIMENSIONS)]],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(ends, prepend=0)), ids, pa.array(ties, pa.int64()), *[pa.array(at[:, k]) for k in range(DIMENSIONS)]],
                     ["doc_id", "doc_tokens", "ids", "tie", *[f"p{k}" for k in range(DIMENSIONS)]],
                 )
 

@@ -3,14 +3,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from loamwork.llm import packing, token_counts, token_files
+from loamwork.llm import packing, token_counts, token_files, units
 from loamwork.llm.common import Workspace
-from loamwork.llm.units import UnitEncoder
+from loamwork.llm.units import UnitEncoder, column_slices
 
 ODD = ["", "\n", " ", " \n", "\n\n a", "a", "a  b", " a", "  a  b \n c ", "ﬁ①x", "a\tb", "<s> hi </s>", "日本語 テキスト\n", "x \ny", "▁a ▁", "tt▁ x", "​", "a<|endoftext|> b <|endoftext|>  c", "'s 't it's I'LL", "á ́b Σ ΟΔΟΣ. İ", "\x1c a\x1cb  \xa0 c", "a\u180eb \u180e c\u200bd e\ufefff g\u2028h\u3000i", " \t a\tb", "a \u180eb\u200b c \u2060d", "x" * 5000, "the and of " * 400]
 
@@ -38,9 +40,29 @@ def test_every_prefix_count_is_the_models():
 def test_units_give_the_librarys_ids(name, drops):
     path = public_tokenizers.path(name)
     own, library = UnitEncoder(path, drops), Tokenizer.from_file(path)
-    texts = odd_texts()
-    for text, ids in zip(texts, own.ids(texts), strict=True):
-        assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = odd_texts() + ["Hallo,\nwelt.$$$ x|| <|endoftext|>. ééÉ### 1a2,,", "a<|b|> ..", "ǅ. ŉ, e\u0301. ǆ|"]
+    for part in (texts, texts[::-1], [], [""], ["\n"]):  # the second time, units are known
+        ids, ends = own.ids(pa.array(part, pa.string()))
+        assert len(ends) == len(part)
+        for text, of in zip(part, np.split(ids, ends[:-1]), strict=bool(part)):
+            assert of.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_units_give_the_librarys_ids_of_whole_documents(name, drops, monkeypatch):
+    monkeypatch.setattr(units, "CACHE_UNITS", 20_000)
+    monkeypatch.setattr(units, "KEPT_UNITS", 5_000)
+    path = public_tokenizers.path(name)
+    own, library = UnitEncoder(path, drops), Tokenizer.from_file(path)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks().fill_null("")
+    want = [x.ids for x in library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    at = 0
+    for a, b in column_slices(texts, 1 << 19):
+        ids, ends = own.ids(texts.slice(a, b - a))
+        for of in np.split(ids, ends[:-1]):
+            assert of.tolist() == want[at]
+            at += 1
+    assert at == len(want)
 
 
 def test_streams_round_trip():
@@ -80,8 +102,17 @@ def test_token_files(spark, monkeypatch):
         assert bytes(r["ids"]) in of[r["doc_id"]] and r["start"] == start and r["n_tokens"] * 4 == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(r["ids"])
         start += r["n_tokens"]
     assert token_files.token_files(spark, documents(spark, []), path).count() == 0
-    with pytest.raises(Exception, match="doc_id is null"):
-        token_files.token_files(spark, documents(spark, [(None, "a")]), path).count()
+
+
+def test_token_files_without_ids_and_in_another_session(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = documents(spark, [(None, "b c"), (3, "a"), (None, None), (None, "b c"), (-4, "x")])
+    folder = token_files.write_token_files(docs, path, 2, Workspace(spark, "test"))
+    got = sorted((r["start"], r["doc_id"], bytes(r["ids"])) for r in token_files.read_token_files(spark.newSession(), folder, keep_ids=True).collect())
+    library = Tokenizer.from_file(path)
+    ids = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert [x for _, x, _ in got] == [None, None, None, -4, 3]
+    assert sorted(x for _, _, x in got[:3]) == sorted([ids("b c"), ids(""), ids("b c")]) and [x for _, _, x in got[3:]] == [ids("x"), ids("a")]
 
 
 def test_hilbert_neighbours_touch():
