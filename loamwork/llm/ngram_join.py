@@ -15,7 +15,6 @@ A large group is dealt to tasks as pairs of blocks; blocks that are one componen
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,43 +28,83 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_or_empty
 from .components import components
 from .signature_tree import Groups, fold, link_exact, link_hashed
-from .units import slices
+from .units import column_slices, cuts
 
-#: Frequent elements go last in the order.  The table only orders elements, any table gives the same result.
-ORDERED_ELEMENTS = 1 << 17
+#: Frequent elements go last in the order: a table of ORDER_SLOTS bytes has the (logarithmic) count of the most frequent
+#: ORDERED_ELEMENTS.  It only orders elements, any table gives the same result.
+ORDERED_ELEMENTS, ORDER_SLOTS = 1 << 20, 1 << 23
 #: Sets in a block of a large group.
 BLOCK_HASHED, BLOCK_EXACT = 2048, 512
 FILTER_BITS_EACH, FILTER_MOST_BITS = 16, 1 << 26
-_WORDS_KEPT = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+#: Random numbers of bytes (capital and small letters alike), and which bytes part words.
+_OF_BYTE = np.random.default_rng(1_913).integers(0, 1 << 64, 256, np.uint64)
+_OF_BYTE[65:91] = _OF_BYTE[97:123]
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
 @lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**64, and of its inverse."""
+    out = []
+    for base in (0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _word_hashes(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts in a row (bytes, and where each text starts and the last ends), and at which
+    word each text starts.  A word's hash is a polynomial of its bytes' numbers, a difference of running sums."""
+    inside = _IN_WORD[data]
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    edges = cut[(cut > 0) & (cut < len(data))]
+    before[edges], after[edges - 1] = False, False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    size = 1 << 21
+    while size < len(data):
+        size *= 2
+    power, inverse = _powers(size)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[data] * power[: len(data)], out=sums[1:], dtype=np.uint64)
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h = (h ^ h >> np.uint64(31)) * _B
+    return h ^ h >> np.uint64(29), np.searchsorted(starts, cut)
 
 
-def shingle_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; of the whole sequence if there are fewer words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    mixed = np.full(len(words) - size + 1, size, np.uint64)
+def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    mixed = np.full(max(0, len(h) - size + 1), size, np.uint64)
     for k in range(size):
         mixed = (mixed ^ h[k : k + len(mixed)]) * _A
         mixed ^= mixed >> np.uint64(29)
     mixed *= _B
-    return np.unique(mixed ^ mixed >> np.uint64(32))
+    return mixed ^ mixed >> np.uint64(32)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[:1] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of the word n-grams; of the whole sequence if there are fewer words."""
+    for a, b in column_slices(texts, 1 << 20):
+        cut = cuts(texts)[a : b + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]]
+        h, first = _word_hashes(data, cut - cut[0])
+        whole = _mixed(h, n)
+        for x, y in zip(first.tolist(), first.tolist()[1:], strict=False):
+            yield _distinct(whole[x : y - n + 1]) if y - x >= n else _mixed(h[x:y], y - x) if y > x else h[:0]
+
+
+def shingle_set(text: str, n: int) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), n))
 
 
 def _prefix_size(n: int, per_cent: int) -> int:
@@ -74,7 +113,7 @@ def _prefix_size(n: int, per_cent: int) -> int:
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
-    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    digest = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
@@ -82,43 +121,62 @@ def _bitmap(s: np.ndarray) -> bytes:
     words = 1
     while words * 64 < len(s):
         words *= 2
-    bits = np.zeros(words * 8, np.uint8)
-    at = (s >> np.uint64(7)) & np.uint64(words * 64 - 1)
-    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8))
-    return bits.tobytes()
+    bits = np.zeros(words * 64, bool)
+    bits[(s >> np.uint64(7)) & np.uint64(words * 64 - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _frequent(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 1 << 25):
-                tokens, count = np.unique(np.concatenate([shingle_set(x, n) for x in texts[a:b]]), return_counts=True)
-                often = count > 2
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(count[often])], ["token", "n"])
+            for a, b in column_slices(batch.column(0), 1 << 25):
+                tokens = np.sort(np.concatenate([*shingle_sets(batch.column(0).slice(a, b - a), n), np.zeros(0, np.uint64)]))
+                first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
+                count = np.diff(first, append=len(tokens))
+                often = count > 1
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[first[often]].astype(np.int64)), pa.array(count[often])], ["token", "n"])
 
     return run
 
 
-def _signatures(n: int, per_cent: int, frequent: np.ndarray, order: np.ndarray):
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(17)) & np.uint64(ORDER_SLOTS - 1)
+
+
+def _order_table(often: DataFrame) -> np.ndarray:
+    """The byte by which elements are ordered, by slot: eight times the binary logarithm of the count of the most frequent.
+
+    Of often (token, n), the at most ORDERED_ELEMENTS of the highest counts come to the driver, whole steps of the
+    logarithm at a time."""
+    step = F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int")
+    left, least = ORDERED_ELEMENTS, 256
+    for r in sorted(often.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    table = np.zeros(ORDER_SLOTS, np.uint8)
+    for batch in often.select("token", step.alias("step")).where(F.col("step") >= least).toArrow().to_batches():
+        np.maximum.at(table, _slots(batch.column(0).to_numpy().view(np.uint64)), batch.column(1).to_numpy().astype(np.uint8))
+    return table
+
+
+def _signatures(n: int, per_cent: int, table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in column_slices(batch.column(1)):
                 h1, h2, sizes, keys, bits = [], [], [], [], []
-                for x in texts[a:b]:
-                    s = shingle_set(x, n)
+                for s in shingle_sets(batch.column(1).slice(a, b - a), n):
                     for column, number in zip((h1, h2), _digest(s), strict=True):
                         column.append(number)
                     sizes.append(len(s))
-                    place = np.searchsorted(frequent, s)
-                    place[place == len(frequent)] = 0
-                    found = frequent[place] == s if len(frequent) else np.zeros(len(s), bool)
-                    rank = np.where(found, order[place], -1) if len(frequent) else np.full(len(s), -1)
-                    first = np.lexsort((s, rank))[: _prefix_size(len(s), per_cent) if len(s) else 0]
+                    # By the table, then by value: s is sorted and the sort is stable.
+                    first = np.argsort(table[_slots(s)], kind="stable")[: _prefix_size(len(s), per_cent) if len(s) else 0]
                     keys.append(s[first].astype(np.int64))
                     bits.append(_bitmap(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["doc_id", "h1", "h2", "size", "keys", "bits"])
+                lengths = np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "h1", "h2", "size", "keys", "bits"])
 
     return run
 
@@ -210,7 +268,7 @@ def _exact_links(n: int, per_cent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, ["key", "i", "j"]):
             groups, side = _joined(rows)
-            made = link_exact([shingle_set(x, n) for x in rows["text"]], groups, per_cent, side)
+            made = link_exact(list(shingle_sets(pa.array(rows["text"], pa.string()), n)), groups, per_cent, side)
             yield _batch(_spokes(made, groups, rows["node"]))
 
     return run
@@ -261,8 +319,8 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
 
     out = np.zeros(size // 64, np.int64)
-    found = ids.select("h").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    out[found["at"].to_numpy()] = found["word"].to_numpy()
+    found = ids.select("h").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy()
     return out.view(np.uint8)
 
 
@@ -284,15 +342,15 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     often = texts.select("text").mapInArrow(_frequent(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = often.orderBy(F.desc("n"), "token").limit(ORDERED_ELEMENTS).toPandas()
-    token = often["token"].to_numpy(np.int64).view(np.uint64)
-    by_token = np.argsort(token)
-    frequent, order = token[by_token], often["n"].to_numpy(np.int64)[by_token]
-    sig = ws.save(texts.mapInArrow(_signatures(n, per_cent, frequent, order), f"doc_id {kind}, h1 long, h2 long, size long, keys array<long>, bits binary"), "sig")
+    table = _order_table(ws.save(often, "often"))
+    ws.drop("often")
+    wide = ws.save(texts.mapInArrow(_signatures(n, per_cent, table), f"doc_id {kind}, h1 long, h2 long, size long, keys array<long>, bits binary"), "signatures")
+    sig = ws.save(wide.select("doc_id", "h1", "h2", "size"), "sig")
     any_of = [F.first(x).alias(x) for x in ("size", "keys", "bits")]
     # F.first of equal values: the partial aggregate leaves one row per set and task before the shuffle.
-    nodes = sig.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), *any_of)
+    nodes = wide.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), *any_of)
     nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    ws.drop("signatures")
     ws.release()
     # Of a similar pair the smaller set has the shared element early: within its size less the least overlap of sets
     # of that size and up, which is 2t / (1 + t) of it.  Elements that no set has early can't bring a pair together.
@@ -327,6 +385,8 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     open_rows = sized.drop("early").join(open_keys.select("key"), "key", "left_semi").join(facts, "node")
     more = _dealt(_in_blocks(open_rows, open_keys, BLOCK_HASHED, "all")).mapInArrow(_hashed_links(per_cent), "a long, b long")
     maybe = maybe.union(ws.save(more, "maybe-2"))
+    for table_name in ("met", "shared", "sized", "open-keys"):
+        ws.drop(table_name)
     candidates = components(maybe, ws, "near-2")
     ws.release()
     candidates = candidates.withColumnRenamed("label", "key")
@@ -340,7 +400,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
         for batch in batches:
             at = [(kept[x >> 3] >> (x & 7)) & 1 for x in _places(batch.column("h").to_numpy(), bits)]
             batch = batch.filter(pa.array((at[0] & at[1]).astype(bool)))
-            digests = [_digest(shingle_set(x, n)) for x in batch.column("text").to_pylist()]
+            digests = [_digest(s) for s in shingle_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([x for x, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.int64())], ["doc_id", "text", "h1", "h2"])
 
     likely = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(pick, f"doc_id {kind}, text string, h1 long, h2 long")
