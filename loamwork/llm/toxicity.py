@@ -3,9 +3,10 @@
 All terms of the examples are indexed.  A term's weight is its idf, times a factor that grows with how much its presence
 goes with the label in the examples (a z-score of the difference of shares), so cosines follow what matters more than
 the topic.  The index holds the examples' normalised weights by term, and the largest weight of each term in each block
-of examples.  A query bounds every block by its terms' largest weights, scores blocks from the highest bound down, and
-stops where a bound can no longer reach the k-th best: the k nearest are exact.  Neighbours vote with their cosine; a
-logistic fit on leave-one-out votes calibrates the score.
+of examples.  Examples that are alike lie in one block, so that bounds are tight.  A query bounds every block by its
+terms' largest weights, scores the blocks of the highest bounds, then those whose bounds can still reach the k-th best:
+the k nearest are exact.  Queries go in batches.  Neighbours vote with their cosine; a logistic fit on leave-one-out
+votes calibrates the score.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .units import slices
+from .units import slices, spans
 
 #: Bound of the labelled rows used as examples, of each label: the first by a hash of the id.
 EXAMPLES_EACH = 3_000
@@ -30,8 +33,10 @@ LEAST_DF = 5
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
 #: Blocks scored first; then all that can still matter, at once.
 FIRST_BLOCKS = 8
-#: So many of the terms that more than 1 in 16 examples have also lie as dense rows, for queries that need most blocks.
-DENSE_ROWS = 512
+#: So many of the terms that more than 1 in 64 examples have also lie as dense rows, block by block.
+DENSE_ROWS = 256
+#: Queries answered at a time.
+QUERIES = 48
 #: Examples of one label whose sets of five words in a row are at least 4/5 alike (Jaccard) are one.
 SHINGLE, ALIKE = 5, (4, 5)
 _WORD = re.compile(r"\w+")
@@ -42,12 +47,6 @@ def terms_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges in a row."""
-    sizes = ends - starts
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def factors(df: np.ndarray, positive: np.ndarray, n: int, n1: int) -> np.ndarray:
     """Weight factors (at least 1) of terms found in df of n examples, in `positive` of the n1 with label 1."""
     n0 = n - n1
@@ -57,117 +56,153 @@ def factors(df: np.ndarray, positive: np.ndarray, n: int, n1: int) -> np.ndarray
     return 1 + np.where((df >= LEAST_DF) & (min(n0, n1) > 0), np.round(z, 9) ** 2, 0)
 
 
+def _alike_together(rows: np.ndarray) -> np.ndarray:
+    """An order of rows in which each BLOCK in a row are alike: halves along the main direction, again and again."""
+    todo, done = [np.arange(len(rows))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= BLOCK:
+            done.append(at)
+            continue
+        x = rows[at] - rows[at].mean(axis=0)
+        v = x[int(np.argmax((x * x).sum(axis=1)))]
+        for _ in range(10):
+            v = x.T @ (x @ v)
+            v = v / max(np.linalg.norm(v), 1e-12)
+        order = at[np.argsort(np.round(x @ v, 9), kind="stable")]
+        half = max(1, len(at) // BLOCK // 2) * BLOCK
+        todo += [order[half:], order[:half]]
+    return np.concatenate([*done, np.zeros(0, np.int64)]).astype(np.int64)
+
+
 class Index:
-    """Examples: (doc_id, label, counts of vocabulary terms).  weight: what an example of each label stands for."""
+    """Examples: ids, labels (0 or 1) and, as rows (doc, term, count) by example, the counts of vocabulary terms.
 
-    def __init__(self, vocabulary: list[str], examples: list[tuple[int, int, dict[str, int]]], weight: tuple[float, float]):
+    weight: what an example of each label stands for.
+    """
+
+    def __init__(self, vocabulary: list[str], ids: list, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray, weight: tuple[float, float]):
         self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.ids = [i for i, _, _ in examples]
-        self.labels = np.array([y for _, y, _ in examples], np.int64)
-        self.mass = np.array(weight)[self.labels] if len(examples) else np.zeros(0)
-        numbers = [np.array([self.number[t] for t in c], np.int64) for _, _, c in examples]
-        term, at = np.concatenate([*numbers, np.zeros(0, np.int64)]), np.repeat(np.arange(len(examples)), [len(x) for x in numbers])
-        df = np.bincount(term, minlength=len(vocabulary))
-        positive = np.bincount(term, self.labels[at], len(vocabulary))
-        self.weight = (np.log((1 + len(examples)) / (1 + df)) + 1) * factors(df, positive, len(examples), int(self.labels.sum()))
-        vectors = [self._weights(c) for _, _, c in examples]
-        term, w = np.concatenate([*(t for t, _ in vectors), term[:0]]), np.concatenate([*(x for _, x in vectors), np.zeros(0)])
-        del vectors, numbers
-        order = np.lexsort((at, term))
-        term, self.at, self.w = term[order], at[order], w[order]
+        n, terms = len(ids), len(vocabulary)
+        labels = np.asarray(labels, np.int64)
+        df = np.bincount(term, minlength=terms)
+        self.weight = (np.log((1 + n) / (1 + df)) + 1) * factors(df, np.bincount(term, labels[doc], terms), n, int(labels.sum()))
+        w = self._weights(doc, term, count, n)
+        often = np.argsort(-df, kind="stable")[:DENSE_ROWS]
+        often = often[df[often] * 64 > n]
+        self.row = np.full(terms, -1, np.int16)
+        self.row[often] = np.arange(len(often))
+        dense = self._dense(doc, term, w, n)
+        order = _alike_together(dense)
+        self.ids, self.labels, self.dense = [ids[k] for k in order.tolist()], labels[order], np.ascontiguousarray(dense[order].T)
+        self.mass = np.array(weight)[self.labels] if n else np.zeros(0)
+        del dense
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        at = place[doc]
+        by_doc = np.argsort(at, kind="stable")
+        at, term, w = at[by_doc], term[by_doc].astype(np.int32), w[by_doc]
+        del by_doc
+        rare = np.flatnonzero(self.row[term] < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]  # by term, then by example
+        own, self.at, self.w = term[rare], at[rare], w[rare]
+        del rare
         # A segment is the postings of a term in a block.
-        self.blocks = max(1, -(-len(examples) // BLOCK))
-        key = term * self.blocks + self.at // BLOCK
+        self.blocks = max(1, -(-n // BLOCK))
+        key = own.astype(np.int64) * self.blocks + self.at // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.cuts = np.append(first, len(key))
-        self.block = (key[first] % self.blocks).astype(np.int64)
+        self.cuts = np.append(first, len(key)).astype(np.int32)
+        self.block = (key[first] % self.blocks).astype(np.int32)
         self.largest = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0)
-        self.segments = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
-        self.ptr = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        often = np.argsort(-df, kind="stable")[:DENSE_ROWS]
-        often = often[df[often] * 16 > len(examples)]
-        self.row = np.full(len(vocabulary), -1)
-        self.row[often] = np.arange(len(often))
-        self.dense: np.ndarray | None = None
+        self.segments = np.searchsorted(own[first], np.arange(terms + 1)).astype(np.int32)
+        del key, first, own
+        self.dense_largest = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n else np.zeros((len(often), 1))
         self.memo: dict[bytes, tuple] = {}
         self.base = float((self.mass * self.labels).sum() / self.mass.sum()) if self.mass.sum() else 0.0
         self.slope, self.offset = 1.0, 0.0
-        self._calibrate([c for _, _, c in examples])
+        self._calibrate(at, term, w)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "memo": {}}
-
-    def _weights(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.fromiter((self.number[t] for t in counts), np.int64, len(counts))
-        order = np.argsort(numbers)
-        numbers = numbers[order]
-        raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.weight[numbers]
-        return numbers, raw / np.sqrt((raw * raw).sum())
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        numbers, w = self._weights(counts)
-        return dict(zip(numbers.tolist(), w.tolist(), strict=True))
-
-    def _cosines(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The cosines of all examples."""
-        if self.dense is None:
-            self.dense = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.ids)))
-            for t in np.flatnonzero(self.row >= 0).tolist():
-                part = slice(self.ptr[t], self.ptr[t + 1])
-                self.dense[self.row[t], self.at[part]] = self.w[part]
-        row = self.row[terms]
-        rare = row < 0
-        low, high = self.ptr[terms[rare]], self.ptr[terms[rare] + 1]
-        place = _spans(low, high)
-        out = np.bincount(self.at[place], np.repeat(q[rare], high - low) * self.w[place], len(self.ids)).astype(float)  # no rare terms give whole numbers
-        for r, x in zip(row[~rare].tolist(), q[~rare].tolist(), strict=True):
-            out += x * self.dense[r]
+        return self.__dict__ | {"memo": {}}
+
+    def _weights(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        raw = (1 + np.log(count)) * self.weight[term]
+        return raw / np.sqrt(np.bincount(doc, raw * raw, n))[doc]
+
+    def _dense(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """The weights of the terms that have dense rows: a row for each of n documents."""
+        row = self.row[term]
+        out = np.zeros((n, int(self.row.max(initial=-1)) + 1))
+        out[doc[row >= 0], row[row >= 0]] = w[row >= 0]
         return out
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines (rounded to 12 digits; ties go to the earlier example)."""
-        terms, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        low, high = self.segments[terms], self.segments[terms + 1]
-        own = _spans(low, high)
-        each, block = np.repeat(q, high - low), self.block[own]
-        bounds = np.bincount(block, each * self.largest[own], self.blocks) + 1e-9
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            least = best[-1] if len(best) == k else 0.0
-            part = part[bounds[part] > max(least, 1e-9)]
-            if not len(part):
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (doc, term, weight) of the texts' terms that the vocabulary has; a text's vector has length 1."""
+        words = [terms_of(x) for x in texts]
+        number = np.fromiter(map(self.number.get, chain.from_iterable(words), repeat(-1)), np.int64, sum(map(len, words)))
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in words])
+        size = max(1, len(self.number))
+        pairs, count = np.unique((doc * size + number)[number >= 0], return_counts=True)
+        doc, term = pairs // size, pairs % size
+        return doc, term, self._weights(doc, term, count, len(texts))
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest examples of n queries: rows (query, example, cosine rounded to 12 digits) from the nearest down.
+
+        Queries are rows (doc, term, weight) as vectors() gives them.  Ties go to the earlier example; examples of
+        cosine 0 are never near.  without: an example that each query leaves out.
+        """
+        size, blocks = len(self.ids), self.blocks
+        dense = self._dense(doc, term, w, n)
+        rare = self.row[term] < 0
+        low, high = self.segments[term[rare]], self.segments[term[rare] + 1]
+        segment, query, weight = spans(low, high), np.repeat(doc[rare], high - low), np.repeat(w[rare], high - low)
+        cell = query * blocks + self.block[segment]
+        bounds = np.bincount(cell, weight * self.largest[segment], n * blocks).reshape(n, blocks) + dense @ self.dense_largest + 1e-9
+        scores = np.zeros((n, size))
+        seen = np.zeros((n, blocks), bool)
+        if blocks > FIRST_BLOCKS:
+            np.put_along_axis(seen, np.argpartition(-bounds, FIRST_BLOCKS - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        want = seen if blocks > FIRST_BLOCKS else ~seen
+        for last in (False, True):
+            here = want.ravel()[cell]
+            low, high = self.cuts[segment[here]], self.cuts[segment[here] + 1]
+            place = spans(low, high)
+            scores += np.bincount(np.repeat(query[here] * size, high - low) + self.at[place], np.repeat(weight[here], high - low) * self.w[place], n * size).reshape(n, size)
+            for b in np.flatnonzero(want.any(axis=0)).tolist():
+                rows, columns = np.flatnonzero(want[:, b]), slice(b * BLOCK, min(size, (b + 1) * BLOCK))
+                scores[rows, columns] += dense[rows] @ self.dense[:, columns]
+            if without is not None:
+                scores[np.arange(n), without] = 0
+            least = np.partition(scores, size - k, axis=1)[:, size - k] if size > k else np.zeros(n)
+            if last or want.all():
                 break
-            everything = len(part) * 2 > self.blocks
-            if everything:
-                best_at, best, cosine = best_at[:0], best[:0], self._cosines(terms, q)
-            else:
-                chosen = np.zeros(self.blocks, bool)
-                chosen[part] = True
-                here = np.flatnonzero(chosen[block])
-                low, high = self.cuts[own[here]], self.cuts[own[here] + 1]
-                place = _spans(low, high)
-                cosine = np.bincount(self.at[place], np.repeat(each[here], high - low) * self.w[place], len(self.ids))
-            places = np.flatnonzero(cosine > max(0.0, least - 1e-9))
-            places = places[places != without]
-            at, cosine = np.concatenate([best_at, places]), np.concatenate([best, np.round(cosine[places], 12)])
-            top = np.lexsort((at, -cosine))[:k]
-            best_at, best = at[top], cosine[top]
-            if everything:
-                break
-        return best_at, best
-
-    def _votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
+            want = (bounds > least[:, None]) & ~seen
+        scores = np.round(scores, 12)
+        query, at = np.nonzero((scores >= np.round(least, 12)[:, None]) & (scores > 0))
+        cosine = scores[query, at]
+        order = np.lexsort((at, -cosine, query))
+        query, at, cosine = query[order], at[order], cosine[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[top], at[top], cosine[top]
+
+    def _votes(self, query: np.ndarray, at: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+        """The weighted share of label 1 among the neighbours of each of n queries; without neighbours, of all examples."""
         w = self.mass[at] * cosine
         # One neighbour's worth of the base rate keeps few or far neighbours from certainty.
         prior = float(self.mass.mean()) * 0.5 if len(self.mass) else 1.0
-        return float(((w * self.labels[at]).sum() + prior * self.base) / (w.sum() + prior))
+        return (np.bincount(query, w * self.labels[at], n) + prior * self.base) / (np.bincount(query, w, n) + prior)
 
-    def _calibrate(self, counts: list[dict[str, int]]) -> None:
+    def _calibrate(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """Fits the score to the votes of the examples about each other; doc, term, weight: their rows by example."""
         if len(set(self.labels.tolist())) < 2:
             return
-        votes = np.array([self._votes(*self.nearest(self.vector(c), NEIGHBOURS, at)) if c else self.base for at, c in enumerate(counts)])
-        x, y, mass = self._logit(votes), self.labels, self.mass / self.mass.sum()
+        votes = []
+        for a in range(0, len(self.ids), QUERIES):
+            b = min(len(self.ids), a + QUERIES)
+            rows = slice(*np.searchsorted(doc, [a, b]).tolist())
+            votes.append(self._votes(*self.nearest(doc[rows] - a, term[rows], w[rows], b - a, NEIGHBOURS, np.arange(a, b)), b - a))
+        x, y, mass = self._logit(np.concatenate(votes)), self.labels, self.mass / self.mass.sum()
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps on the logistic loss, with a little pull to the identity
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -182,24 +217,29 @@ class Index:
             self.slope, self.offset = float(a), float(b)
 
     @staticmethod
-    def _logit(p: np.ndarray | float) -> np.ndarray:
+    def _logit(p: np.ndarray) -> np.ndarray:
         p = np.clip(p, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """The calibrated score and the ids of the nearest examples."""
-        key = xxhash.xxh3_128_digest(text.encode())
-        known = self.memo.get(key)
-        if known is None:
-            counts = {t: n for t, n in Counter(terms_of(text)).items() if t in self.number}
-            at, cosine = self.nearest(self.vector(counts), NEIGHBOURS) if counts else (np.zeros(0, np.int64), np.zeros(0))
-            votes = self._votes(at, cosine) if len(at) else self.base
-            p = float(1 / (1 + np.exp(-(self.slope * self._logit(votes) + self.offset))))
-            known = p, [self.ids[i] for i in at[:EVIDENCE]]
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[key] = known
-        return known
+    def _score(self, texts: list[str]) -> list[tuple[float, list]]:
+        n = len(texts)
+        query, at, cosine = self.nearest(*self.vectors(texts), n, NEIGHBOURS)
+        p = 1 / (1 + np.exp(-(self.slope * self._logit(self._votes(query, at, cosine, n)) + self.offset)))
+        first = np.searchsorted(query, np.arange(n + 1)).tolist()
+        return [(x, [self.ids[i] for i in at[a : min(b, a + EVIDENCE)].tolist()]) for x, a, b in zip(p.tolist(), first, first[1:], strict=False)]
+
+    def score(self, texts: list[str]) -> list[tuple[float, list]]:
+        """The calibrated score and the ids of the nearest examples of each text; equal texts are searched once."""
+        if not self.ids:
+            return [(float(1 / (1 + np.exp(-(self.slope * self._logit(np.float64(self.base)) + self.offset)))), [])] * len(texts)
+        if len(self.memo) + len(texts) >= _MEMO:
+            self.memo.clear()
+        keys = [xxhash.xxh3_128_digest(x.encode()) for x in texts]
+        new = list({k: x for k, x in zip(keys, texts, strict=True) if k not in self.memo}.items())
+        for a in range(0, len(new), QUERIES):
+            part = new[a : a + QUERIES]
+            self.memo.update(zip([k for k, _ in part], self._score([x for _, x in part]), strict=True))
+        return [self.memo[k] for k in keys]
 
 
 def distinct(ids: list, labels: list[int], shingles: list[np.ndarray]) -> list[int]:
@@ -208,17 +248,21 @@ def distinct(ids: list, labels: list[int], shingles: list[np.ndarray]) -> list[i
     each, by which pairs are found.
     """
     part, whole = ALIKE
+    ends = np.cumsum([0, *(len(x) for x in shingles)])
     values, inverse, df = np.unique(np.concatenate([*shingles, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
+    rank = np.empty(len(values), np.int32)
     rank[np.argsort(df, kind="stable")] = np.arange(len(values))
-    ends = np.cumsum([0, *(len(x) for x in shingles)])
-    sets = [np.sort(rank[inverse[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    alone = int((df == 1).sum())  # elements of one example, of the lowest ranks, bring nothing together
+    flat = rank[inverse]
+    del values, inverse, df, rank
+    sets = [np.sort(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    del flat
     owners: dict[tuple[int, int], list[int]] = {}
     stay = []
-    for at in sorted(range(len(ids)), key=lambda k: (ids[k], sets[k].tolist())):
+    for at in sorted(range(len(ids)), key=lambda k: (ids[k], sets[k].tobytes())):
         own = sets[at]
         n = len(own)
-        prefix = [(labels[at], x) for x in own[: n - -(-part * n // whole) + 1].tolist()]
+        prefix = [(labels[at], x) for x in own[: n - -(-part * n // whole) + 1].tolist() if x >= alone]
         for other in sorted({k for x in prefix for k in owners.get(x, ())}):
             m = len(sets[other])
             if whole * min(n, m) >= part * max(n, m):
@@ -256,19 +300,33 @@ def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
     table = texts.mapInArrow(run, f"label_id {kind}, y int, shingles array<long>, terms array<string>, n array<long>").toArrow().combine_chunks()
     ids, ys = table.column("label_id").to_pylist(), table.column("y").to_pylist()
     lists = table.column("shingles").combine_chunks()
-    cuts = np.cumsum([0, *lists.value_lengths().to_pylist()])
-    flat = lists.flatten().to_numpy()
-    order = distinct(ids, ys, [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
-    terms = table.column("terms").combine_chunks()
+    flat, own = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    stay = distinct(ids, ys, [flat[a:b] for a, b in zip(own, own[1:], strict=False)])
+    terms, n = table.column("terms").combine_chunks(), table.column("n").combine_chunks().flatten().to_numpy()
+    own = np.append(0, np.cumsum(terms.value_lengths().to_numpy()))
     coded = terms.flatten().dictionary_encode()
-    names, codes, n = coded.dictionary.to_pylist(), coded.indices.to_numpy(), table.column("n").combine_chunks().flatten().to_numpy()
-    cuts = np.cumsum([0, *terms.value_lengths().to_pylist()])
-    examples = [(ids[k], ys[k], {names[c]: x for c, x in zip(codes[cuts[k] : cuts[k + 1]].tolist(), n[cuts[k] : cuts[k + 1]].tolist(), strict=True)}) for k in order]
-    examples.sort(key=lambda x: (xxhash.xxh64_intdigest(str(x[0])), str(x[0]), sorted(x[2].items())))
-    vocabulary = sorted({t for _, _, c in examples for t in c})
-    n1 = sum(y for _, y, _ in examples)
-    n0 = len(examples) - n1
-    return Index(vocabulary, examples, (totals.get(0, 0) / max(1, n0), totals.get(1, 0) / max(1, n1)))
+    del table, lists, flat, terms
+    pa.default_memory_pool().release_unused()
+    # One order of terms and examples, whatever order the rows came in.
+    by_name = pc.sort_indices(coded.dictionary).to_numpy()
+    vocabulary, number = coded.dictionary.take(pa.array(by_name)), np.empty(len(by_name), np.int64)
+    number[by_name] = np.arange(len(by_name))
+    codes = number.astype(np.int32)[coded.indices.to_numpy()]
+    del coded, number
+    rows = {}
+    for k in stay:
+        part = slice(own[k], own[k + 1])
+        by_code = np.argsort(codes[part])
+        rows[k] = codes[part][by_code], n[part][by_code]
+    order = sorted(stay, key=lambda k: (xxhash.xxh64_intdigest(str(ids[k])), str(ids[k]), rows[k][0].tolist(), rows[k][1].tolist()))
+    used, term = np.unique(np.concatenate([*(rows[k][0] for k in order), np.zeros(0, np.int32)]), return_inverse=True)
+    count = np.concatenate([*(rows[k][1] for k in order), np.zeros(0, np.int64)])
+    n1 = sum(ys[k] for k in order)
+    weight = (totals.get(0, 0) / max(1, len(order) - n1), totals.get(1, 0) / max(1, n1))
+    doc = np.repeat(np.arange(len(order), dtype=np.int64), [len(rows[k][0]) for k in order])
+    names = vocabulary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+    del rows, codes, n, own, vocabulary, used
+    return Index(names, [ids[k] for k in order], np.array([ys[k] for k in order], np.int64), doc, term, count, weight)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -283,7 +341,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                found = [index.score(t) for t in texts[a:b]]
+                found = index.score(texts[a:b])
                 s = np.array([x for x, _ in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([x for _, x in found], pa.list_(batch.schema.field(0).type))], ["doc_id", "score", "predicted", "evidence"])
 

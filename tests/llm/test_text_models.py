@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,21 +66,52 @@ def test_toxicity_holds_out(spark):
     assert toxicity.score(docs.where("false"), index).count() == 0
 
 
-def test_nearest_examples_are_exact():
+def nearest_by_brute_force(weights, labels_at, query, k):
+    cosine = np.round(query @ weights.T, 12)
+    return [(at, cosine[at]) for at in np.lexsort((np.arange(len(cosine)), -cosine)) if cosine[at] > 0][:k]
+
+
+def index_of(vocabulary, texts, labels, ids=None):
+    counts = [Counter(toxicity.terms_of(x)) for x in texts]
+    number = {t: i for i, t in enumerate(vocabulary)}
+    rows = np.array([(k, number[t], n) for k, c in enumerate(counts) for t, n in sorted(c.items())], np.int64).reshape(-1, 3)
+    return toxicity.Index(vocabulary, ids or list(range(len(texts))), np.array(labels), rows[:, 0], rows[:, 1], rows[:, 2], (2.0, 1.0))
+
+
+def dense_of(index, texts):
+    out = np.zeros((len(texts), len(index.number)))
+    doc, term, w = index.vectors(texts)
+    out[doc, term] = w
+    return out
+
+
+@pytest.mark.parametrize("terms", [30, 3000])
+def test_nearest_examples_are_exact(terms):
     rng = random.Random(9)
-    vocabulary = [f"t{k}" for k in range(30)]
-    examples = [(i, rng.randint(0, 1), {t: rng.randint(1, 4) for t in rng.sample(vocabulary, rng.randint(0, 5))}) for i in range(700)]
-    index = toxicity.Index(vocabulary, examples, (2.0, 1.0))
-    dense = np.zeros((len(examples), 30))
-    for k, (_, _, c) in enumerate(examples):
-        for t, w in index.vector(c).items():
-            dense[k, t] = w
-    for _ in range(60):
-        q = index.vector({t: rng.randint(1, 3) for t in rng.sample(vocabulary, rng.randint(1, 6))})
-        cosine = np.round(sum((q[t] * dense[:, t] for t in q), np.zeros(len(examples))), 12)
-        want = [k for k in np.lexsort((np.arange(len(cosine)), -cosine)) if cosine[k] > 0][:25]
-        at, found = index.nearest(q, 25)
-        assert np.allclose(found, cosine[want]) and (at == want).mean() > 0.9
+    vocabulary = [f"t{k}" for k in range(terms)]
+    some = lambda most: " ".join(rng.choices(vocabulary[: terms // 3] if rng.random() < 0.5 else vocabulary[terms // 3 :], k=rng.randint(0, most)))
+    texts = [some(8) for _ in range(1300)]
+    labels = [rng.randint(0, 1) for _ in texts]
+    index = index_of(vocabulary, texts, labels)
+    assert sorted(index.ids) == list(range(1300)) and [labels[i] for i in index.ids] == index.labels.tolist()
+    weights = dense_of(index, [texts[i] for i in index.ids])
+    queries = [some(6) for _ in range(300)] + ["", "unseen"]
+    query, at, cosine = index.nearest(*index.vectors(queries), len(queries), 25)
+    for k, q in enumerate(dense_of(index, queries)):
+        want = nearest_by_brute_force(weights, index.labels, q, 25)
+        mine = query == k
+        assert np.allclose(cosine[mine], [c for _, c in want], atol=1e-11) and set(at[mine][: len(want) // 2]) <= {i for i, c in nearest_by_brute_force(weights, None, q, 1300) if c >= cosine[mine][-1] - 1e-11}
+
+
+def test_nearest_examples_of_real_documents_are_exact():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    texts = [x or "" for x in texts][:800]
+    vocabulary = sorted({t for x in texts[:500] for t in toxicity.terms_of(x)})
+    index = index_of(vocabulary, texts[:500], [k % 2 for k in range(500)])
+    weights = dense_of(index, [texts[i] for i in index.ids])
+    query, _, cosine = index.nearest(*index.vectors(texts), len(texts), 25)
+    for k, q in enumerate(dense_of(index, texts)):
+        assert np.allclose(cosine[query == k], [c for _, c in nearest_by_brute_force(weights, None, q, 25)], atol=1e-11)
 
 
 def test_every_term_of_the_examples_counts(spark):
@@ -269,3 +302,27 @@ def test_masks():
 @pytest.mark.parametrize("digits", ["4111111111111111", "79927398713"])
 def test_luhn(digits):
     assert pii.luhn(digits) and not pii.luhn(digits[:-1] + str((int(digits[-1]) + 1) % 10))
+
+
+def test_overlapping_items_are_cut_alike_in_any_blocks(spark, monkeypatch):
+    a, b = [f"a{k}" for k in range(12)], [f"b{k}" for k in range(12)]
+    shared = [f"s{k}" for k in range(6)]
+    items = [("x", " ".join(a + shared)), ("y", " ".join(shared + b)), (None, " ".join(f"c{k}" for k in range(11)))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["head " + " ".join(a + shared + b) + " tail", None, "", "plain", " ".join(f"C{k}" for k in range(11)) + "!", " ".join(shared + b)]
+    docs = spark.createDataFrame([(k % 3 or None, t, "h", k) for k, t in enumerate(texts)], "doc_id long, text string, hits string, n_words int")
+    out = []
+    for size in (1 << 25, 40, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.remove_passages(docs, benchmark, unnamed=True)
+        assert got.columns == docs.columns
+        out.append(sorted(map(tuple, got.collect()), key=lambda r: r[3]))
+    assert out[0] == out[1] == out[2]
+    assert [r[1] for r in out[0]] == ["head  tail", None, "", "plain", "!", ""]
+    counts = []
+    for size in (1 << 25, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        counts.append(sorted(map(str, decontaminate.contamination(docs, benchmark, unnamed=True).collect())))
+    assert counts[0] == counts[1]
+    assert decontaminate.remove_passages(docs.where("false"), benchmark).count() == 0
+    assert decontaminate.remove_passages(docs, benchmark.where("false")).count() == 6
