@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import Workspace, text_or_empty
 from .fm_index import FMIndex
 from .units import slices
 
@@ -100,8 +100,8 @@ class Windows:
             yield hit[a : a + n], own
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[list[tuple[str | None, str]]]:
-    """Items as (id, text) lists of at most about BLOCK_BYTES each; an item longer than that is a block.
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[tuple[int, int, list[tuple[str | None, str]]]]:
+    """Items as (block, blocks, list of (id, text)) of at most about BLOCK_BYTES each; an item longer than that is a block.
 
     unnamed: whether items without an id are among them.
     """
@@ -110,7 +110,15 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, unnamed: bool) ->
     blocks = 1 + total // BLOCK_BYTES
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r["i"], r["t"]) for r in own.collect() if unnamed or r["i"] is not None]
+        yield k, blocks, [(r["i"], r["t"]) for r in own.collect() if unnamed or r["i"] is not None]
+
+
+def _written(ws: Workspace, state: DataFrame, block: int) -> DataFrame:
+    """The state after a block that others follow, as a table: one block's windows are held at a time."""
+    state = ws.save(state, f"block-{block}")
+    if block:
+        ws.drop(f"block-{block - 1}")
+    return state
 
 
 def _ranges(hit: np.ndarray) -> np.ndarray:
@@ -128,7 +136,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     state = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("doc_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = f"doc_id {kind}, doc_text string, n_words long, hits array<long>, items array<string>"
-    for items in _blocks(benchmark, item_col, item_text_col, unnamed):
+    ws = Workspace(docs.sparkSession, "windows")
+    for block, blocks, items in _blocks(benchmark, item_col, item_text_col, unnamed):
         windows = Windows(items, window)
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
@@ -146,6 +155,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("doc_text"), pa.array([len(x) for x in words], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "doc_text", "n_words", "hits", "items"])
 
         state = state.mapInArrow(run, schema)
+        state = _written(ws, state, block) if block < blocks - 1 else state
     return state
 
 
@@ -176,24 +186,38 @@ def cut_ranges(text: str, hits: list[int]) -> str:
 def remove_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """docs with the benchmark's passages cut from the texts; same columns and rows, null texts stay null.
 
-    unnamed: whether items without an id count.  Documents keep what surrounds a passage; one that is nothing else is left with an empty text or bare marks.
+    All windows of all items are found first, then cut at once, so the blocks in which items come make no difference.
+    unnamed: whether items without an id count.  Documents keep what surrounds a passage; one that is nothing else is
+    left with an empty text or bare marks.  Null ids and repeated rows stay as they are; an empty benchmark cuts nothing;
+    no rows give no rows; other columns, of any name, go through.
     """
-    schema = docs.schema
-    cut_docs = docs
-    for items in _blocks(benchmark, "item_id", "text", unnamed):
-        windows = Windows(items)
-
-        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
+    hidden = "hits"
+    while hidden in [x.lower() for x in docs.columns]:
+        hidden += "_"
+    state = docs.withColumn(hidden, F.array().cast("array<long>"))
+    wide, names = state.schema, docs.columns
+    ws = Workspace(docs.sparkSession, "passages")
+    for block, blocks, items in _blocks(benchmark, "item_id", "text", unnamed):
+        windows, last = Windows(items), block == blocks - 1
+
+        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows, last: bool = last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index(text_col)
+                at = names.index(text_col)
                 texts = batch.column(at).to_pylist()
                 for a, b in slices([x or "" for x in texts], SHARD_CHARS):
-                    own = texts[a:b]
-                    scanned = windows.scan([words_of(x or "") for x in own])
-                    new = [cut_ranges(x, _ranges(hit).tolist()) if hit.any() else x for x, (hit, _) in zip(own, scanned, strict=True)]
-                    columns = batch.slice(a, b - a).columns
-                    columns[at] = pa.array(new, pa.string())
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        cut_docs = cut_docs.mapInArrow(run, schema)
-    return cut_docs
+                    part, own, hits = batch.slice(a, b - a), texts[a:b], []
+                    columns = part.columns
+                    for old, (hit, _) in zip(columns[-1].to_pylist(), windows.scan([words_of(x or "") for x in own]), strict=True):
+                        for x, y in zip(old[::2], old[1::2], strict=True):
+                            hit[x:y] = True
+                        hits.append(_ranges(hit))
+                    if last:
+                        columns = columns[:-1]
+                        columns[at] = pa.array([cut_ranges(x, h.tolist()) if len(h) else x for x, h in zip(own, hits, strict=True)], pa.string())
+                    else:
+                        columns[-1] = pa.array(hits, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names if last else [*names, hidden])
+
+        state = state.mapInArrow(run, docs.schema if last else wide)
+        state = state if last else _written(ws, state, block)
+    return state
