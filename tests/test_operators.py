@@ -218,6 +218,12 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.forget_repository(fid)["forgotten"] and engine.catalog.snapshot().table("chunks").count() == 0
 
 
+def test_drains_are_capped():
+    assert changes.drained(["b", "a", "b"]) == [["a", "b"]] and changes.drained([]) == []
+    many = [f"p{k:05}" for k in range(2_100)]
+    assert [len(x) for x in changes.drained(many[::-1])] == [1024, 1024, 52] and sum(changes.drained(many), []) == many
+
+
 def test_stream_debounces_like_the_replay(spark, tmp_path):
     schema = "family_id string, path string, kind string, ts timestamp"
     t = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
@@ -225,8 +231,18 @@ def test_stream_debounces_like_the_replay(spark, tmp_path):
     df = spark.createDataFrame(data, schema)
     df.write.parquet(str(tmp_path / "in"))
     want = [tuple(r) for r in changes.debounced(df).orderBy("batch").select("paths").collect()]
-    q = changes.debounced_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("debounced").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = [tuple(r) for r in spark.sql("SELECT paths FROM debounced ORDER BY opened_ms").collect()]
-    assert want == [(["p0", "p1", "p2"],), (["p3"],), (["p4"],), (["p5"],)] and got in (want, want[:-1])
+    later = spark.createDataFrame([("other", "z", "modify", t(60_000))], schema)  # moves the watermark on
+    later.write.parquet(str(tmp_path / "in2"))
+    for k, part in enumerate((tmp_path / "in", tmp_path / "in2")):
+        for f in sorted(part.glob("*.parquet")):
+            (tmp_path / "all").mkdir(exist_ok=True)
+            f.rename(tmp_path / "all" / f"{k}-{f.name}")
+    stream = changes.debounced_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "all")))
+    sink = stream.writeStream.format("memory").queryName("debounced").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    q = sink.trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    got = [tuple(r) for r in spark.sql("SELECT paths FROM debounced WHERE family_id = 'f' ORDER BY opened_ms").collect()]
+    assert want == [(["p0", "p1", "p2"],), (["p3"],), (["p4"],), (["p5"],)] and got == want
