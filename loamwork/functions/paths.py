@@ -20,8 +20,8 @@ def ancestors(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language by extension, null for others."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """Language by extension, null for others.  Case counts, and a name that is nothing but a dot and letters has none."""
+    ext = F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
     out = F.when(F.lit(False), F.lit(""))
     for e, name in LANGUAGES.items():
         out = out.when(ext == e, F.lit(name))

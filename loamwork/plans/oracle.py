@@ -122,7 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_upserts": f"WITH e AS {_EDGES} SELECT relation, count(*) AS n FROM (SELECT * FROM e UNION SELECT src, dst, 'imports' FROM e WHERE relation = 'defines') GROUP BY 1",
     "classify_paths": f"SELECT path, decision FROM {_DECIDED}",
     "classify_layered": f"""SELECT path, CASE WHEN doc_id % 12 IN (2, 8) OR path LIKE 'src/de/%' THEN 'drop' WHEN doc_id % 12 = 1 THEN 'drop' WHEN path LIKE 'node_modules/%' THEN 'tier2' ELSE 'tier1' END AS decision FROM {_TREE}""",
-    "language_detect": f"SELECT path, CASE doc_id % 12 WHEN 4 THEN 'javascript' WHEN 5 THEN 'rust' WHEN 6 THEN 'python' WHEN 7 THEN 'typescript' WHEN 9 THEN 'python' END AS language FROM {_TREE}",
+    "language_detect": f"SELECT path, CASE doc_id % 12 WHEN 4 THEN 'javascript' WHEN 5 THEN 'rust' WHEN 6 THEN 'python' WHEN 7 THEN 'typescript' END AS language FROM {_TREE}",
     "tier_totals": f"SELECT decision, count(*) AS files, sum(size)::BIGINT AS bytes FROM {_DECIDED} GROUP BY 1",
     "ancestor_costs": f"SELECT path, count(*) AS files, sum(size)::BIGINT AS bytes FROM {_DIRS} GROUP BY 1",
     "largest_files": f"SELECT path, size AS bytes FROM {_DECIDED} WHERE decision <> 'drop' ORDER BY size DESC, path LIMIT 20",

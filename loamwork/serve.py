@@ -22,7 +22,7 @@ from .functions.text import UNICODE
 from .operators import graph, indexing, inventory, knowledge, policy, registry, search, versions
 from .schema import TABLES
 from .sources.catalog import Catalog, Snapshot
-from .sources.files import inventory as list_files
+from .sources.files import inventory as list_files, inventory_complete
 from .sources.files import scan
 
 
@@ -189,7 +189,7 @@ class Engine:
         family, (_, own) = self._family(snap, family_id), self._policy(snap, family_id)
         rules = policy.effective(own)["index"]
         decided = list_files(self.spark, family["path"], rules["exclude"], rules["vendor"])
-        return {"tiers": _rows(inventory.tiers(decided)), "largest_files": _rows(inventory.largest_files(decided)), "directories": _rows(inventory.costly_directories(decided)), **_rows(inventory.advice(decided))[0]}
+        return {"tiers": _rows(inventory.tiers(decided)), "largest_files": _rows(inventory.largest_files(decided)), "directories": _rows(inventory.costly_directories(decided)), **_rows(inventory.advice(decided, complete=inventory_complete(self.spark, family["path"])))[0]}
 
     def _flag(self, family_id: str, column: str, value: bool) -> dict[str, Any]:
         snap = self.catalog.snapshot()

@@ -20,15 +20,20 @@ def _listed(spark: SparkSession, root: str, content: bool) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, exclude: list[str] | tuple[str, ...] = EXCLUDE_DEFAULTS, vendor: list[str] | tuple[str, ...] = VENDOR_DEFAULTS, most: int = INVENTORY_ENTRIES) -> DataFrame:
-    """path, size, decision, language of the files below root.  No content is read; at most `most` entries."""
+    """path, size, decision, language of the files below root.  No content is read; at most `most` entries: see inventory_complete."""
     return classified(_listed(spark, root, False).limit(most), exclude, vendor)
 
 
+def inventory_complete(spark: SparkSession, root: str, most: int = INVENTORY_ENTRIES) -> bool:
+    """Whether an inventory of so many entries has all files below root."""
+    return _listed(spark, root, False).select("path").limit(most + 1).count() <= most
+
+
 def scan(spark: SparkSession, root: str, exclude: list[str] | tuple[str, ...] = EXCLUDE_DEFAULTS, vendor: list[str] | tuple[str, ...] = VENDOR_DEFAULTS) -> DataFrame:
     """path, source, size, content_hash, tier of the files below root that are indexed, by path."""
     decided = classified(_listed(spark, root, True), exclude, vendor).where("decision <> 'drop'")
     tier = F.when(F.col("decision") == "tier2", 2).otherwise(1).cast("short").alias("tier")
-    return admitted(decided).join(decided.select("path", tier), "path").orderBy("path")
+    return admitted(decided.withColumn("tier", tier), "tier").orderBy("path")
 
 
 def scan_paths(spark: SparkSession, root: str, paths: list[str], **rules) -> DataFrame:
