@@ -16,13 +16,15 @@ _local_root: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) a
-    temporary folder of this process is used instead.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and the master is local (tests on one
+    machine) a temporary folder of this process is used instead; on a cluster there is an error.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="loamwork-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)

@@ -116,18 +116,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
     return fit(of(1), of(0), float(share or 0.0))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with score (double, 0 to 1) and predicted (1 if score >= 0.5); null texts count as empty.
 
-    docs may not have columns of these names; all rows and other columns stay.
+    `names` are the two columns' names, which docs may not have yet: ValueError.  All rows and other columns stay.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    if {x.lower() for x in names} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"docs have columns named {names} already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for a, b in slices(texts):
                 s = model.scores(np.array([features(t) for t in texts[a:b]]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
