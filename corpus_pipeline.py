@@ -15,9 +15,16 @@ from loamwork.llm.common import Workspace, held_out, load
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; trained on the labels that op1 may use."""
+    """Drops the documents that the quality classifier rejects; trained on the labels that op1 may use.
+
+    A null text is scored as an empty one; rows without an id, repeated rows and other columns, of any name, go through
+    or go by the text alone.  Without labels the classifier has nothing to tell documents apart by and scores all alike.
+    """
+    names = ("score", "predicted")
+    while {x.lower() for x in names} & {x.lower() for x in docs.columns}:
+        names = (f"{names[0]}_", f"{names[1]}_")
     model = quality.train(docs, load(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 3, 1))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +38,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the benchmark's passages from the texts."""
+    """Cuts the benchmark's passages from the texts; all rows stay, and null texts stay null."""
     return decontaminate.remove_passages(docs, load(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts."""
+    """Masks personal data in the texts; all rows stay, and null texts stay null."""
     return pii.mask_personal_data(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 4096 tokens along a space-filling curve."""
+    """Packs the documents into sequences of 4096 tokens along a space-filling curve.
+
+    A null text has the end id alone; rows without an id and repeated rows are packed each on its own.
+    """
     return packing.pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
