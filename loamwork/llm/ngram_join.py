@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
-from .components import components
+from .components import components, extended, roots
 from .signature_tree import Groups, fold, link_exact, link_hashed
 from .units import column_slices, cuts
 
@@ -367,7 +367,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     star = star.join(facts.select(F.col("node").alias("center"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b")), "center")
     maybe = star.select(F.col("node").alias("a"), F.col("center").alias("b"), "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_allowed(per_cent), "a long, b long")
     maybe = ws.save(maybe, "maybe-1")
-    near = components(maybe, ws, "near-1")
+    near = roots(maybe.select(F.col("a").alias("node"), F.col("b").alias("label")), ws, "near-1")
 
     labelled = _relabel(shared, near)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -384,12 +384,11 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     open_keys = ws.save(groups.where("low < high AND any_early").groupBy("members", "x1", "x2").agg(F.min("key").alias("key")), "open-keys")
     open_rows = sized.drop("early").join(open_keys.select("key"), "key", "left_semi").join(facts, "node")
     more = _dealt(_in_blocks(open_rows, open_keys, BLOCK_HASHED, "all")).mapInArrow(_hashed_links(per_cent), "a long, b long")
-    maybe = maybe.union(ws.save(more, "maybe-2"))
+    more = ws.save(more, "maybe-2")
     for table_name in ("met", "shared", "sized", "open-keys"):
         ws.drop(table_name)
-    candidates = components(maybe, ws, "near-2")
+    candidates = extended(near, more, ws, "near-2").withColumnRenamed("label", "key")
     ws.release()
-    candidates = candidates.withColumnRenamed("label", "key")
     sizes = ws.save(candidates.groupBy("key").agg(F.count("*").alias("members")), "candidate-sizes")
 
     chosen = candidates.join(nodes.select("node", "first_id", "h1", "h2"), "node")
@@ -407,7 +406,6 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
     # Rows that repeat an id may have other texts; the digest of the set says which is meant.
     wanted = chosen.join(likely, ["h1", "h2"]).where("doc_id <=> first_id").select("key", "node", "text")
     wanted = ws.save(wanted, "candidate-texts")
-    links = None
     labels = None
     for step, pairs in (("own", "first"), ("rest", "all")):
         rows = wanted.withColumn("label", F.col("node")) if labels is None else _relabel(wanted, labels)
@@ -417,8 +415,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, n: int = 5, per_cent
             if counts.isEmpty():
                 break
         made = ws.save(_dealt(_in_blocks(rows, counts, BLOCK_EXACT, pairs)).mapInArrow(_exact_links(n, per_cent), "a long, b long"), f"links-{step}")
-        links = made if links is None else links.union(made)
-        labels = components(links, ws, f"linked-{step}")
+        labels = components(made, ws, f"linked-{step}") if labels is None else extended(labels, made, ws, f"linked-{step}")
     least = _relabel(nodes.select("node", "first_id", "h1", "h2"), labels)
     least = least.join(least.groupBy("label").agg(F.min("first_id").alias("component_id")), "label").select("h1", "h2", "component_id")
     out = sig.select("doc_id", "h1", "h2", F.col("size").alias("n_shingles")).join(least, ["h1", "h2"], "left")

@@ -113,6 +113,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "cc"), "e").count() == 0
 
 
+def test_roots_and_extended_components(spark):
+    rng = random.Random(6)
+    parents = [(k, k - 1) for k in range(1, 30)] + [(k, rng.randrange(100, k)) for k in range(101, 140)] + [(300 + k, 300) for k in range(1, 20)]
+    edges = [(29, 130), (150, 151), (310, 150), (7, 9), (160, 161), (160, 160), (170, 170)]
+    groups = trees.Groups(400)
+    for a, b in parents:
+        groups.join(a, b)
+    one, ws = groups.labels(), Workspace(spark, "roots")
+    labels = components.roots(spark.createDataFrame(parents, "node long, label long"), ws, "t")
+    assert {r["node"]: r["label"] for r in labels.collect()} == {a: one[a] for a, _ in parents}
+    for a, b in edges:
+        groups.join(a, b)
+    both = groups.labels()
+    rows = components.extended(labels, spark.createDataFrame(edges, "a long, b long"), ws, "u").collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {r["node"]: r["label"] for r in rows} == {x: both[x] for e in parents + edges if e[0] != e[1] for x in e}
+    none = spark.createDataFrame([], "a long, b long")
+    empty = components.roots(none.toDF("node", "label"), ws, "n")
+    assert empty.count() == 0 and components.extended(empty, none, ws, "m").count() == 0
+
+
 def simhash_rows(spark, rows):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, row int")
     return simhash.edited_fingerprints(docs).collect()
