@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     "protected_cleanup": """SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0 AND doc_id NOT IN (SELECT unnest([doc_id + 2, doc_id + 5]) FROM documents WHERE doc_id % 100 = 1)
  AND doc_id NOT IN (SELECT doc_id + 6 FROM documents WHERE doc_id % 50 = 3 AND doc_id % 100 = 3)""",
     "content_hash_versions": f"""SELECT file_path AS path, content_hash, NOT (id % 2 = 0 AND id % 6 <> 0 AND id % 10 <> 0) AS is_new, CASE WHEN id % 2 = 0 AND id % 6 <> 0 AND id % 10 <> 0 THEN 'v' || id END AS known FROM {_CHUNKS}""",
-    "embedding_reuse": f"SELECT id, id % 6 = 0 AND id IN (SELECT vec_id FROM embeddings) AS reused FROM {_CHUNKS} WHERE id % 2 = 0",
+    "embedding_reuse": f"SELECT id, id % 3 = 0 AND id IN (SELECT vec_id FROM embeddings) AS reused FROM {_CHUNKS}",
     "orphan_paths": f"SELECT file_path FROM {_CHUNKS} WHERE id % 4 = 0",
     "pending_groups": f"SELECT content_hash, count(*) AS rows FROM {_CHUNKS} WHERE embedding_state = 'pending' GROUP BY 1 ORDER BY 1 LIMIT 128",
     "backfill_fanout": f"""WITH c AS {_CHUNKS}, g AS (SELECT DISTINCT content_hash FROM c WHERE embedding_state = 'pending' ORDER BY 1 LIMIT 128), s AS (SELECT CASE WHEN embedding_state = 'pending' AND content_hash IN (SELECT content_hash FROM g) THEN 'made' ELSE embedding_state END AS s FROM c)
@@ -109,7 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "inherits": _hop("nation", "n_name", "inherits_from", False),
     "imports": _hop("part", "p_name", "imports", False),
     "edge_resolution_local_first": f"""WITH s AS (SELECT file_path || '/' || ord AS chunk_id, name, (file_path % 500)::VARCHAR AS file, ord FROM {_SPANS}),
- j AS (SELECT c.chunk_id AS src, t.chunk_id AS dst, c.file = t.file AS near FROM s c JOIN s t ON c.name = t.name WHERE c.ord % 2 = 1),
+ j AS (SELECT c.chunk_id AS src, t.chunk_id AS dst, c.file = t.file AS near FROM s c JOIN s t ON c.name = t.name),
  k AS (SELECT DISTINCT src, dst FROM j WHERE near OR src NOT IN (SELECT src FROM j WHERE near))
  SELECT src, count(*) AS targets, min(dst) AS least, max(dst) AS most FROM k GROUP BY 1""",
     "edge_dedup": "SELECT DISTINCT l_partkey::VARCHAR AS src, l_suppkey::VARCHAR AS dst, 'calls' AS relation FROM lineitem WHERE l_linenumber % 5 <> 0",
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
  SELECT 'node' AS what, kind, count(*) AS n FROM s WHERE chunk_id NOT IN (SELECT chunk_id FROM g) GROUP BY 2
  UNION ALL SELECT 'edge', relation, count(*) FROM e WHERE src NOT IN (SELECT chunk_id FROM g) AND dst NOT IN (SELECT chunk_id FROM g) GROUP BY 2""",
     "containment_defines": f'SELECT o.file_path, o.ord AS "outer", i.ord AS "inner" FROM {_SPANS} o JOIN {_SPANS} i ON o.file_path = i.file_path AND o.kind = \'class\' AND o.start_line <= i.start_line AND i.end_line <= o.end_line AND o.ord <> i.ord',
-    "chunk_symbol_link": f"SELECT file_path || '/' || ord AS chunk_id, name, kind, file_path, start_line, end_line FROM {_SPANS} WHERE ord % 2 = 0",
+    "chunk_symbol_link": f"SELECT file_path || '/' || ord AS chunk_id, name, kind, file_path, start_line, end_line FROM {_SPANS}",
     "symbol_name_map": f"SELECT file_path, name, min(chunk_id) AS chunk_id FROM {_SYMBOLS} GROUP BY ALL",
     "graph_upserts": f"WITH e AS {_EDGES} SELECT relation, count(*) AS n FROM (SELECT * FROM e UNION SELECT src, dst, 'imports' FROM e WHERE relation = 'defines') GROUP BY 1",
     "classify_paths": f"SELECT path, decision FROM {_DECIDED}",

@@ -187,7 +187,7 @@ def content_hash_versions(s, d):
 def embedding_reuse(s, d):
     c = t.chunks(s, d)
     old = c.where("id % 3 = 0").join(t.vectors(s, d), "id").select("id", "file_path", "content_hash", "content", "embedding")
-    return versions.reusable_embeddings(c.where("id % 2 = 0").select("id", "file_path", "content_hash", "content"), old).select("id", F.col("reused").isNotNull().alias("reused"))
+    return versions.reusable_embeddings(c.select("id", "file_path", "content_hash", "content"), old).select("id", F.col("reused").isNotNull().alias("reused"))
 
 
 @query
@@ -227,7 +227,7 @@ for _args in (("callers", "supplier", "s_name"), ("callees", "part", "p_name"),
 @query
 def edge_resolution_local_first(s, d):
     sym = t.spans(s, d).select(F.concat_ws("/", F.col("file_path").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), "name", (F.col("file_path") % 500).cast("string").alias("file_path"), "ord")
-    calls = sym.where("ord % 2 = 1").select(F.concat(F.col("chunk_id"), F.lit("!")).alias("candidate"), F.col("chunk_id").alias("src"), "file_path", F.col("name").alias("to_name"), F.lit("calls").alias("relation"))
+    calls = sym.select(F.concat(F.col("chunk_id"), F.lit("!")).alias("candidate"), F.col("chunk_id").alias("src"), "file_path", F.col("name").alias("to_name"), F.lit("calls").alias("relation"))
     out = graph.resolve(calls, sym.select("name", "chunk_id", "file_path"))
     return out.groupBy("src").agg(F.count("*").alias("targets"), F.min("dst").alias("least"), F.max("dst").alias("most"))
 
@@ -253,7 +253,7 @@ def containment_defines(s, d):
 @query
 def chunk_symbol_link(s, d):
     sym = t.spans(s, d)
-    c = sym.where("ord % 2 = 0").select(F.concat_ws("/", F.col("file_path").cast("string"), F.col("ord").cast("string")).alias("id"), "file_path", "start_line")
+    c = sym.select(F.concat_ws("/", F.col("file_path").cast("string"), F.col("ord").cast("string")).alias("id"), "file_path", "start_line")
     doubled = sym.unionByName(sym.withColumns({"ord": F.col("ord") + 100, "name": F.lit("later")}))
     return graph.link_chunks(c, doubled)
 
