@@ -2,15 +2,15 @@
 
 A labelled pair (good, bad) is a preference.  The chance that one document is preferred is the logistic function
 of the difference of their scores, and a score is linear in features of the text, so training is logistic loss on
-feature differences.  The threshold is the quantile of the scores that leaves as many documents below it as the
-labels have bad ones; scores around it are scaled to probabilities.
+feature differences.  The threshold is the quantile of the scores of all usable labelled documents that leaves as
+many of them below it as are labelled bad; scores around it are scaled to probabilities.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from .units import slices
 #: Bound of the labelled rows used for fitting, of each label: the first by a hash of the id.
 SAMPLE_EACH = 3_000
 PAIRS, STEPS, RIDGE, SEED = 60_000, 300, 1e-3, 7
+#: Bins in which the scores of all usable labelled rows are counted: the bound of the driver's table, at any size.
+BINS = 1 << 16
 
 
 def features(text: str) -> np.ndarray:
@@ -50,16 +52,38 @@ class Model:
     threshold: float
     slope: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities; 0.5 is the threshold."""
-        s = ((x - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * (s - self.threshold), -30, 30)))
-
+    low: float = 0.0
+    width: float = 0.0
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float) -> Model:
-    """Fits on features of good and bad documents; share_bad: of all labelled ones, which sets the quantile.
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.weights
 
-    Without examples of either kind nothing can be ranked: every score is 0.5 then.
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities; 0.5 is the threshold."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(x) - self.threshold), -30, 30)))
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        """Bins of raw scores, the outermost ones for all beyond."""
+        return np.clip((self.raw(x) - self.low) // self.width, 0, BINS - 1).astype(np.int32)
+
+    def placed(self, counts: dict[tuple[int, int], int]) -> Model:
+        """This model with its threshold and slope by the counts of labelled rows, by label (0 or 1) and bin."""
+        at = sorted({b for _, b in counts})
+        if not at:
+            return self
+        values = self.low + self.width * (np.array(at) + 0.5)
+        bad, good = (np.array([counts.get((y, b), 0) for b in at], float) for y in (0, 1))
+        k = min(int(np.searchsorted(np.cumsum(bad + good), bad.sum() - 0.5)), len(at) - 1)
+        threshold = float((values[k] + values[min(k + 1, len(at) - 1)]) / 2)
+        slopes = np.geomspace(0.05, 20, 60)
+        loss = [(good * np.logaddexp(0, -a * (values - threshold)) + bad * np.logaddexp(0, a * (values - threshold))).sum() for a in slopes]
+        return replace(self, threshold=threshold, slope=float(slopes[int(np.argmin(loss))]))
+
+
+def fit(good: np.ndarray, bad: np.ndarray) -> Model:
+    """The ranking by features of good and bad documents; its threshold is yet to be placed.
+
+    Without examples of either kind nothing can be ranked: every score is 0.5 then, and there are no bins.
     """
     size = good.shape[1] if good.size else bad.shape[1] if bad.size else len(features(""))
     if not len(good) or not len(bad):
@@ -78,42 +102,50 @@ def fit(good: np.ndarray, bad: np.ndarray, share_bad: float) -> Model:
         slope = -(miss @ rows) / len(rows) + RIDGE * w
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         w = w - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    sg, sb = g @ w, b @ w
-    values = np.concatenate([sg, sb])
-    mass = np.concatenate([np.full(len(sg), (1 - share_bad) / len(sg)), np.full(len(sb), share_bad / len(sb))])
-    order = np.argsort(values, kind="stable")
-    at = int(np.searchsorted(np.cumsum(mass[order]), share_bad - 1e-9))
-    ordered = values[order]
-    threshold = float((ordered[min(at, len(ordered) - 1)] + ordered[min(at + 1, len(ordered) - 1)]) / 2)
-    y = np.concatenate([np.ones(len(sg)), np.zeros(len(sb))])
-    slopes = np.geomspace(0.05, 20, 60)
-    loss = [(mass * np.logaddexp(0, np.where(y > 0, -1, 1) * a * (values - threshold))).sum() for a in slopes]
-    return Model(mean, scale, w, threshold, float(slopes[int(np.argmin(loss))]))
+    values = np.concatenate([g @ w, b @ w])
+    low, high = float(values.min()), float(values.max())
+    span = max(high - low, 1e-6)
+    return Model(mean, scale, w, 0.0, 1.0, low - span, 3 * span / BINS)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int = SAMPLE_EACH) -> Model:
     """Fits on the labelled rows of docs where `usable` (a condition on labels) holds.
 
-    Null ids and null labels are left out, an id with several labels counts as its largest.  The sample is bounded
-    by `each` rows of each label, so it is broadcast to find their texts; only features come to the driver.  The
-    share of bad documents is counted over all usable labels.
+    Null ids and null labels are left out, an id with several labels counts as its largest.  The ranking is learnt
+    from a sample of `each` ids of each label at most, so it is broadcast to find their texts; an id's features come
+    to the driver once, however often its row is repeated (of different texts, the least features).  Threshold and
+    slope are placed by all usable labelled rows: each is scored and counted by label and bin.
     """
-    usable_labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
-    share = usable_labels.agg(F.avg(1.0 - F.col("y")).alias("s")).first()["s"]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    usable_labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.max(label) > 0).cast("int").alias("y"))
+    order = [F.xxhash64("label_id"), F.col("label_id")]
     sample = [usable_labels.where(F.col("y") == y).orderBy(*order).limit(each) for y in (0, 1)]
-    chosen = sample[0].union(sample[1]).withColumnRenamed("doc_id", "label_id")
-    texts = docs.select("doc_id", text_or_empty()).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("y", "text")
+    texts = docs.select("doc_id", text_or_empty())
+    chosen = texts.join(F.broadcast(sample[0].union(sample[1])), F.col("doc_id") == F.col("label_id")).select("label_id", "y", "text")
+    kind = chosen.schema["label_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
+            x = [features(t).astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], ["label_id", "y", "x"])
 
-    rows = sorted((r["y"], bytes(r["x"])) for r in texts.mapInArrow(run, "y int, x binary").collect())
+    found = chosen.mapInArrow(run, f"label_id {kind}, y int, x binary").groupBy("label_id", "y").agg(F.min("x").alias("x"))
+    rows = sorted((r["y"], bytes(r["x"])) for r in found.collect())
     size = len(features(""))
     of = lambda y: np.array([np.frombuffer(x, np.float32) for label, x in rows if label == y], np.float64).reshape(-1, size)
-    return fit(of(1), of(0), float(share or 0.0))
+    model = fit(of(1), of(0))
+    if not model.width:
+        return model
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                bins = model.bins(np.array([features(t) for t in texts[a:b]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bins)], ["doc_id", "bin"])
+
+    placed = texts.mapInArrow(ranked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bin int")
+    counts = placed.join(usable_labels, F.col("doc_id") == F.col("label_id")).groupBy("y", "bin").count()
+    return model.placed({(r["y"], r["bin"]): r["count"] for r in counts.collect()})
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

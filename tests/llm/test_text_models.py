@@ -53,6 +53,18 @@ def test_quality_without_labels(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def test_quality_threshold_is_a_quantile_of_all_labelled_rows(spark):
+    docs, labels = labelled(spark, "quality")
+    model = quality.train(docs, labels, "quality", F.lit(True), each=20)  # far fewer than are labelled
+    mine = {r["doc_id"]: r["quality"] for r in labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").collect()}
+    rows = [(r["text"] or "", mine[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in mine]
+    raw = np.sort(model.raw(np.array([quality.features(t) for t, _ in rows])))
+    n_bad = sum(not y for _, y in rows)
+    assert raw[n_bad - 1] - model.width <= model.threshold <= raw[n_bad] + model.width
+    twice = quality.train(docs.union(docs), labels, "quality", F.lit(True), each=20)
+    assert np.array_equal(twice.weights, model.weights) and twice.threshold == model.threshold
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = labelled(spark, "toxic")
     index = toxicity.build(docs, labels, "toxic", ~held_out("doc_id", 5, 0))
