@@ -37,7 +37,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELLED_EMAIL = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>]) ?[A-Za-z0-9-]{2,63})+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{1,7}(?![0-9.])")
+_DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}[./_\u00a0\u2013][0-9]{4}[./_\u00a0\u2013][0-9]{4}[./_\u00a0\u2013][0-9]{1,7}(?![0-9.])")
+_WORDED_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{2,63})+(?![A-Za-z0-9-])")
+_ZERO_PHONE = re.compile(r"(?<![0-9A-Za-z+(.-])00[1-9][0-9]{0,2}(?:[ .-]\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z-])")
+_SHORT_IP = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])")
+_BRACKET_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9.])")
 
 # Gazetteers.
 _TLDS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "it", "uk", "eu", "info", "biz", "us", "ca", "nl", "ch", "at", "be", "se", "pl", "ru", "cn", "jp", "in", "br", "mx"}
@@ -52,6 +56,9 @@ _CONTEXT = {
 _AGAINST = ("version", "release", "isbn", "issn", "doi", "build", "section", "invoice", "order no", "serial", "sku", "part no")
 
 
+_UNBRACKETED = str.maketrans("", "", "[]()")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -98,10 +105,14 @@ _HAS_DIGIT = re.compile("[0-9]").search
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the wider patterns that overlap no base span nor one another, by kind and start."""
     found = [(0, *m.span()) for m in _SPELLED_EMAIL.finditer(text)] if any(x in text for x in "[({<") else []
+    if " dot " in text or " DOT " in text:
+        found += [(0, *m.span()) for m in _WORDED_EMAIL.finditer(text)]
     if _HAS_DIGIT(text):
         found += [(1, *m.span()) for m in _LONG_IP.finditer(text)] if ":" in text else []
+        found += [(1, *m.span()) for m in _SHORT_IP.finditer(text) if m[0].count(":") >= 3 and _HAS_DIGIT(m[0])] if "::" in text else []
+        found += [(1, *m.span()) for m in _BRACKET_IP.finditer(text) if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0]))]
         found += [(2, *m.span()) for m in _DOTTED_CARD.finditer(text)]
-        found += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
+        found += [(3, *m.span()) for p in (_LOCAL_PHONE, _ZERO_PHONE) for m in p.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
     out = []
     for kind, a, b in sorted(found):
@@ -123,15 +134,17 @@ def votes(text: str, kind: int, a: int, b: int) -> tuple[int, ...]:
         last = re.split(r"[^A-Za-z0-9]+", span.strip("])}> "))[-1].lower()
         gazetteer, checksum = (1 if last in _TLDS else -1), 0
     elif kind == 1:
-        shape = 1 if span.count(".") == 3 or span.count(":") == 7 else -1
-        private = span.startswith(("0.", "127.", "255.", "1.0.", "2.0."))
+        plain = span.translate(_UNBRACKETED)
+        shape = 1 if plain.count(".") == 3 or plain.count(":") == 7 or "::" in plain else -1
+        private = plain.startswith(("0.", "127.", "255.", "1.0.", "2.0."))
         gazetteer, checksum = (-1 if private else 1), 0
     elif kind == 2:
         shape = 1 if len(d) in (15, 16) else 0
         gazetteer, checksum = (1 if d.startswith(_ISSUERS) else -1), (1 if luhn(d) else -1)
     else:
-        shape = 1 if span.startswith("+") or re.fullmatch(r"\(?[0-9]{3}\)?[ .-]+[0-9]{3}[ .-][0-9]{4}", span) else 0
-        gazetteer = 1 if span.startswith("+") and d.startswith(_CALLING) or not span.startswith("+") and d[:1] in "23456789" else -1
+        shape = 1 if span.startswith("+") or re.fullmatch(r"\(?[0-9]{3}\)?[ .-]+[0-9]{3}[ .-][0-9]{4}", span) or span.startswith("00") and 9 <= len(d) - 2 <= 15 else 0
+        called = d if span.startswith("+") else d[2:] if span.startswith("00") else ""
+        gazetteer = 1 if called.startswith(_CALLING) or not called and d[:1] in "23456789" else -1
         checksum = -1 if len(set(d)) == 1 else 0
     context = 1 if any(x in before for x in _CONTEXT[KINDS[kind]]) else 0
     against = -1 if any(x in before for x in _AGAINST) else 0
@@ -255,7 +268,7 @@ def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, counts and digest of the base spans, and all spans (base and added).
 
     n_email, n_ip, n_card and n_phone count base spans; base_sha256 is the digest of their list and spans the list
-    of all, as kind:start:end by kind, start.  Null and empty texts have none; null ids and repeated rows stay;
+    of all, as kind:start:end by kind, start; n_spans counts all of them.  Null and empty texts have none; null ids and repeated rows stay;
     other columns are ignored; an empty table gives no rows.  The texts are read once: spans are a written table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -264,7 +277,7 @@ def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = [(x["kind"], x["first"], x["beyond"]) for x in base]
                 added = [(x["kind"], x["first"], x["beyond"]) for x in more if model.probability(x["pattern"]) >= ADD_FROM]
@@ -272,9 +285,10 @@ def personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     out[k].append(sum(x[0] == k for x in own))
                 out[4].append(hashlib.sha256(",".join(_keyed(*x) for x in own).encode()).hexdigest())
                 out[5].append(",".join(_keyed(*x) for x in sorted(own + added)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                out[6].append(len(own) + len(added))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:6]), pa.array(out[6], pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return spans.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return spans.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
