@@ -1,12 +1,14 @@
 """Tools over a catalog: the engine's named operations as functions of JSON arguments, and a line loop around them.
 
-Each request reads one snapshot; writes commit against it and fail if another writer was first.
+Each request reads one snapshot; writes commit against it and fail if another writer was first.  The log of uses is
+tried again instead.  Full-text search takes words of any script.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import inspect
 import json
 import sys
 import time
@@ -21,11 +23,25 @@ from .functions.paths import ancestors
 from .functions.text import UNICODE
 from .operators import graph, indexing, inventory, knowledge, policy, registry, search, versions
 from .schema import TABLES
-from .sources.catalog import Catalog, Snapshot
+from .sources.catalog import Catalog, Conflict, Snapshot
 from .sources.files import inventory as list_files, inventory_complete
 from .sources.files import scan
 
 
+#: Version of the tool protocol that initialize answers with.
+PROTOCOL = "2024-11-05"
+#: Attempts to log a use against other writers.
+USAGE_TRIES = 5
+_JSON_TYPES = (("bool", "boolean"), ("int", "integer"), ("list[str]", "array"), ("dict", "object"))
+
+
+def _schema_of(parameter: inspect.Parameter) -> dict[str, Any]:
+    """The JSON type of a tool's parameter, by its annotation; string where there is none."""
+    kind = str(parameter.annotation)
+    name = next((to for start, to in _JSON_TYPES if kind.startswith(start)), "string")
+    return {"type": name, "items": {"type": "string"}} if name == "array" else {"type": name}
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -88,7 +104,7 @@ class Engine:
 
     def search_fulltext(self, query: str, cwd: str, limit: int | None = None) -> dict[str, Any]:
         family, chunks = self._view(cwd)
-        return self._answer(family, chunks, search.fulltext(chunks, query, limit))
+        return self._answer(family, chunks, search.fulltext(chunks, query, limit, UNICODE))
 
     def search_semantic(self, query: str, cwd: str, limit: int | None = None) -> dict[str, Any]:
         family, chunks = self._view(cwd)
@@ -98,7 +114,7 @@ class Engine:
     def search_hybrid(self, query: str, cwd: str, limit: int | None = None) -> dict[str, Any]:
         family, chunks = self._view(cwd)
         vector = self._vector(query)
-        return self._answer(family, chunks, search.hybrid(chunks, query, vector, limit) if vector else search.fulltext(chunks, query, limit))
+        return self._answer(family, chunks, search.hybrid(chunks, query, vector, limit, UNICODE) if vector else search.fulltext(chunks, query, limit, UNICODE))
 
     def search_structural(self, symbol: str, relation: str, cwd: str) -> dict[str, Any]:
         _, chunks = self._view(cwd)
@@ -120,7 +136,7 @@ class Engine:
     def search_knowledge(self, query: str, repo_path: str | None = None, limit: int | None = None) -> dict[str, Any]:
         notes = self.catalog.snapshot().table("knowledge")
         vector = self._vector(query)
-        found = knowledge.hybrid(notes, query, vector, repo_path, limit, UNICODE) if vector else knowledge.fulltext(notes, query, repo_path, limit)
+        found = knowledge.hybrid(notes, query, vector, repo_path, limit, UNICODE) if vector else knowledge.fulltext(notes, query, repo_path, limit, UNICODE)
         return {"results": _rows(notes.drop("embedding").join(F.broadcast(found), "id").orderBy(F.desc("score"), "id"))}
 
     def delete_knowledge(self, id: str) -> dict[str, Any]:
@@ -284,26 +300,59 @@ class Engine:
         began = time.monotonic()
         out = self.tools[tool](**arguments)
         results = out.get("results", out.get("symbols"))
-        snap = self.catalog.snapshot()
-        row = {"id": snap.number + 1, "ts": _now(), "tool": tool, "repo_path": arguments.get("cwd") or arguments.get("repo_path"), "duration_ms": int((time.monotonic() - began) * 1000), "result_count": None if results is None else len(results)}
-        self.catalog.commit(snap, {"usage": snap.table("usage").unionByName(self.spark.createDataFrame([Row(**row)], TABLES["usage"]))})
+        row = {"ts": _now(), "tool": tool, "repo_path": arguments.get("cwd") or arguments.get("repo_path"), "duration_ms": int((time.monotonic() - began) * 1000), "result_count": None if results is None else len(results)}
+        self._log_use(row)
+        return out
+
+    def _log_use(self, row: dict[str, Any]) -> bool:
+        """Logs a use, trying again after lost races; a use that can't be logged never fails the call it belongs to."""
+        for _ in range(USAGE_TRIES):
+            snap = self.catalog.snapshot()
+            new = self.spark.createDataFrame([Row(id=snap.number + 1, **row)], TABLES["usage"])
+            try:
+                self.catalog.commit(snap, {"usage": snap.table("usage").unionByName(new)})
+                return True
+            except Conflict:
+                continue
+        return False
+
+    def described(self) -> list[dict[str, Any]]:
+        """Name, description and input schema of each tool, by its parameters."""
+        out = []
+        for name, tool in self.tools.items():
+            shown = [p for p in inspect.signature(tool).parameters.values() if p.kind is not p.VAR_KEYWORD]
+            schema = {"type": "object", "properties": {p.name: _schema_of(p) for p in shown}, "required": [p.name for p in shown if p.default is p.empty]}
+            about = (tool.__doc__ or name.replace("_", " ").capitalize() + ".").split("\n")[0]
+            out.append({"name": name, "description": about, "inputSchema": schema})
         return out
 
     def serve(self, source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
-        """Answers JSON-RPC requests, one a line: tools/list and tools/call."""
+        """Answers JSON-RPC requests, one a line: initialize, ping, tools/list and tools/call.
+
+        Notifications (no id) are taken and not answered.
+        """
         for line in source:
             if not line.strip():
                 continue
             request: dict[str, Any] = {}
             try:
-                request = json.loads(line)
-                if request.get("method") == "tools/list":
-                    result: Any = {"tools": [{"name": n} for n in self.tools]}
-                elif request.get("method") == "tools/call":
+                if not isinstance(parsed := json.loads(line), dict):
+                    raise ValueError("a request is an object")
+                request = parsed
+                method = request.get("method", "")
+                if "id" not in request and method.startswith("notifications/"):
+                    continue
+                if method == "initialize":
+                    result: Any = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "loamwork", "version": "0.1"}}
+                elif method == "ping":
+                    result = {}
+                elif method == "tools/list":
+                    result = {"tools": self.described()}
+                elif method == "tools/call":
                     p = request.get("params", {})
                     result = {"content": [{"type": "text", "text": json.dumps(self.call(p.get("name", ""), p.get("arguments", {})), default=str)}]}
                 else:
-                    raise KeyError(f"unknown method {request.get('method')}")
+                    raise KeyError(f"unknown method {method}")
                 answer = {"jsonrpc": "2.0", "id": request.get("id"), "result": result}
             except Exception as e:  # a failed request is an answer, not the end of the loop
                 answer = {"jsonrpc": "2.0", "id": request.get("id"), "error": {"code": -32000, "message": str(e)}}

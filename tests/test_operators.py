@@ -218,6 +218,43 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.forget_repository(fid)["forgotten"] and engine.catalog.snapshot().table("chunks").count() == 0
 
 
+def test_protocol_and_log_of_uses(spark, tmp_path, monkeypatch):
+    import io
+
+    from loamwork import serve
+
+    engine, out = serve.Engine(spark, f"file://{tmp_path}/store"), io.StringIO()
+    asked = [{"id": 1, "method": "initialize", "params": {}}, {"method": "notifications/initialized"}, {"id": 2, "method": "ping"}, {"id": 3, "method": "tools/list"}, [1], {"id": 4, "method": "other"}]
+    engine.serve(io.StringIO("".join(json.dumps(x) + "\n" for x in asked)), out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in answers] == [1, 2, 3, None, 4] and ["error" in x for x in answers] == [False, False, False, True, True]
+    assert answers[0]["result"]["capabilities"] == {"tools": {}}
+    tools = {t["name"]: t["inputSchema"] for t in answers[2]["result"]["tools"]}
+    assert len(tools) == 24 and tools["search_hybrid"]["required"] == ["query", "cwd"] and tools["search_hybrid"]["properties"]["limit"] == {"type": "integer"}
+    assert tools["record_knowledge"]["properties"]["tags"]["type"] == "array" and tools["apply_policy"]["properties"]["policy_json"] == {"type": "object"}
+    assert tools["recreate_index"] == {"type": "object", "properties": {}, "required": []}
+
+    note = engine.record_knowledge("Über", "日本 text", "r")["id"]
+    for query in ("über", "日本"):
+        assert [n["id"] for n in engine.search_knowledge(query)["results"]] == [note]
+
+    commit, lost = engine.catalog.commit, []
+
+    def race(snap, changes):
+        if len(lost) < 2:
+            lost.append(snap.number)
+            raise serve.Conflict("lost")
+        return commit(snap, changes)
+
+    monkeypatch.setattr(engine.catalog, "commit", race)
+    assert engine.call("list_knowledge", {})["results"] and len(lost) == 2  # two lost races, then logged
+    assert [r["tool"] for r in engine.catalog.snapshot().table("usage").collect()] == ["list_knowledge"]
+    lost[:] = []
+    monkeypatch.setattr(serve, "USAGE_TRIES", 2)
+    assert engine.call("list_knowledge", {})["results"]  # never logged, but answered
+    assert engine.catalog.snapshot().table("usage").count() == 1
+
+
 def test_drains_are_capped():
     assert changes.drained(["b", "a", "b"]) == [["a", "b"]] and changes.drained([]) == []
     many = [f"p{k:05}" for k in range(2_100)]
