@@ -1,7 +1,8 @@
 """Symbols and call candidates of source files.
 
 Python goes through the standard library's parser; Rust, JavaScript and TypeScript through a scanner for
-declarations and braces, which sees less than a full grammar.  A symbol's range starts at the doc and attribute
+declarations and braces, which sees less than a full grammar.  Of a Python source that doesn't parse, the top-level
+declarations that do are kept.  A symbol's range starts at the doc and attribute
 lines right above it.  parse(source, language) can be swapped for a full parser with the same result type.
 """
 
@@ -48,11 +49,28 @@ def defines(symbols: list[Symbol]) -> list[tuple[int, int]]:
     return [(i, j) for i, o in enumerate(symbols) if o.kind in ("class", "module") for j, s in enumerate(symbols) if i != j and o.start <= s.start and s.end <= o.end]
 
 
-def _python(source: str, lines: list[str]) -> Parsed:
+_TOP = re.compile(r"(?:@|(?:async\s+)?def\s|class\s|import\s|from\s)")
+
+
+def _tree(source: str) -> ast.AST | None:
     try:
-        tree = ast.parse(source)
+        return ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return Parsed()
+        return None
+
+
+def _recovered(lines: list[str]) -> list[ast.AST]:
+    """Trees of the top-level declarations that parse each on its own, for a source that doesn't as a whole."""
+    starts = [k for k, line in enumerate(lines) if _TOP.match(line) and not (k and lines[k - 1].startswith("@"))]
+    trees = []
+    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+        if (tree := _tree("\n".join(lines[a:b]))) is not None:
+            trees.append(ast.increment_lineno(tree, a))
+    return trees
+
+
+def _python(source: str, lines: list[str]) -> Parsed:
+    whole = _tree(source)
     out = Parsed()
 
     def visit(node: ast.AST) -> None:
@@ -66,7 +84,8 @@ def _python(source: str, lines: list[str]) -> Parsed:
                     out.calls += [(place, x) for x in seen if x != name]
             visit(child)
 
-    visit(tree)
+    for tree in [whole] if whole is not None else _recovered(lines):
+        visit(tree)
     return out
 
 
@@ -84,6 +103,7 @@ _DECLARED = {
     "rust": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern(?:\s+\"[^\"]*\")?|default)\s+)*(?:(?P<function>fn)\s+(?P<f>\w+)|(?P<class>struct)\s+(?P<c>\w+)|(?P<impl>impl)\b(?:\s*<[^>]*>)?\s*(?P<i>[^{]*)|(?P<module>mod)\s+(?P<m>\w+)|(?P<import>use)\s+(?P<u>[^;]+))"),
     "javascript": re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?:async\s+)?(?P<function>function)\s*\*?\s*(?P<f>[\w$]+)|(?P<class>class)\s+(?P<c>[\w$]+)|(?P<import>import)\s+(?:[^'\"]*?from\s*)?['\"](?P<u>[^'\"]+)['\"])"),
 }
+_OPEN_IMPORT, _QUOTED = re.compile(r"\s*import\b[^(]*$"), re.compile("['\"]")
 _CALL = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\(")
 _NOT_CALLS = {"if", "for", "while", "match", "switch", "return", "fn", "function", "catch", "loop", "in", "await", "new", "typeof", "super", "let", "const", "else", "move", "async"}
 
@@ -126,7 +146,10 @@ def _braces(source: str, lines: list[str], language: str) -> Parsed:
         depth += text.count("{") - text.count("}")
         depth_at.append(depth)
     for row, line in enumerate(lines):
-        m = pattern.match(line) if plain[row].strip() else None
+        m, last = (pattern.match(line) if plain[row].strip() else None), row
+        if not m and language != "rust" and _OPEN_IMPORT.match(plain[row]):
+            last = next((k for k in range(row, len(lines)) if _QUOTED.search(lines[k]) or ";" in plain[k]), row)
+            m = pattern.match("\n".join(lines[row : last + 1]))
         if not m:
             continue
         g = m.groupdict()
@@ -136,7 +159,7 @@ def _braces(source: str, lines: list[str], language: str) -> Parsed:
         while end < len(lines) - 1 and not (depth_at[end + 1] <= depth_at[row] and ("{" in "".join(plain[row : end + 1]) or plain[end].rstrip().endswith(";"))):
             end += 1
         if kind == "import" and language != "rust":
-            end = row
+            end = last
         out.symbols.append(Symbol(name, kind, widened(lines, row, language) + 1, end + 1))
         if kind == "function":
             body = "\n".join(plain[row : end + 1])
@@ -146,7 +169,7 @@ def _braces(source: str, lines: list[str], language: str) -> Parsed:
 
 
 def parse(source: str, language: str | None) -> Parsed:
-    """Symbols and calls of a source, none for a language that isn't parsed or a source that doesn't parse."""
+    """Symbols and calls of a source, none for a language that isn't parsed or where nothing parses."""
     if language is None:
         return Parsed()
     lines = lines_of(source)

@@ -86,6 +86,18 @@ def test_parse_python():
     assert parse.parse("def (", "python").symbols == []
 
 
+def test_parse_python_with_errors():
+    p = parse.parse("import os\n\n@deco\ndef f():\n    return g()\n\ndef broken(:\n    pass\n\nclass C:\n    def m(self):\n        f()\n", "python")
+    assert [(s.name, s.kind, s.start, s.end) for s in p.symbols] == [("os", "import", 1, 1), ("f", "function", 3, 5), ("C", "class", 10, 12), ("m", "function", 11, 12)]
+    assert p.calls == [(1, "g"), (3, "f")]
+
+
+def test_parse_imports_over_lines():
+    p = parse.parse("import {\n  a,\n  b,\n} from './m';\nimport x from \"y\";\nfunction go() { return import('z'); }\n", "typescript")
+    assert [(s.name, s.kind, s.start, s.end) for s in p.symbols] == [("./m", "import", 1, 4), ("y", "import", 5, 5), ("go", "function", 6, 6)]
+    assert parse.parse("import {\n  a,\n", "javascript").symbols == []
+
+
 def test_parse_rust():
     source = 'use std::io;\n\n/// doc\n#[inline]\npub fn alpha(x: u8) -> u8 {\n    // beta(1)\n    let s = "gamma(";\n    self.beta(x) + alpha(1)\n}\nstruct S { a: u8 }\nimpl S {\n    fn beta(&self) { }\n}\nmod tests;\n'
     p = parse.parse(source, "rust")
