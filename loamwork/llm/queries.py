@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, warc
+from . import collocations, decontaminate, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, warc
 from .common import Workspace, held_out, load
 
 
@@ -59,9 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality, "op2_token_counts": op2_token_counts, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc,
     "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_ngram_join": op9_ngram_join, "op10_packing": op10_packing,
+    "op13_collocations": op13_collocations,
 }
 
 #: Equal payloads of at least 100 bytes are one response and its revisits.
@@ -105,4 +110,21 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_id ON d.doc_id = least_id.doc_id
 """
 
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL}
+#: Words of pieces, their n-grams, the lowest-scoring cut, and phrases inside of longer ones left out.
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(list_slice(w, i, i + size - 1), ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size),
+f AS MATERIALIZED (SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, fl.f AS l, fr.f AS r, ((1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (fl.f::HUGEINT * fr.f::HUGEINT))::BIGINT AS score
+           FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = first JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op13_collocations": OP13_SQL}
