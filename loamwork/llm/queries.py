@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, warc
+from . import collocations, decontaminate, ngram_join, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filters, warc, whitening
 from .common import Workspace, held_out, load
 
 
@@ -59,6 +59,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, load(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+#: Rules of op12, host and path.
+OP12_RULES = [url_filters.rule(text, verdict) for text, verdict in [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(spark, load(spark, sf_dir, "pages"), OP12_RULES)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, load(spark, sf_dir, "documents"))
 
@@ -66,7 +78,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality, "op2_token_counts": op2_token_counts, "op3_token_files": op3_token_files, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc,
     "op6_simhash": op6_simhash, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_ngram_join": op9_ngram_join, "op10_packing": op10_packing,
-    "op13_collocations": op13_collocations,
+    "op11_whitening": op11_whitening, "op12_url_filters": op12_url_filters, "op13_collocations": op13_collocations,
 }
 
 #: Equal payloads of at least 100 bytes are one response and its revisits.
@@ -127,4 +139,34 @@ kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op13_collocations": OP13_SQL}
+
+
+def _steps_sql(steps: int) -> str:
+    """Trust and distrust step by step, in whole numbers."""
+    one = "m{k} AS MATERIALIZED (SELECT host, kind, sum(mass)::BIGINT AS mass FROM (SELECT e.dst AS host, e.kind, (m.mass // 100 * 85) // e.degree AS mass FROM e JOIN m{before} m ON e.kind = m.kind AND e.src = m.host UNION ALL SELECT host, kind, mass FROM m0) GROUP BY ALL)"
+    return ",\n".join(one.format(k=k, before=k - 1) for k in range(1, steps + 1))
+
+
+#: Rules by length; masses of seeds, spread over links between hosts and back over them.
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+j AS (SELECT page_id, host, path, html, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                                       WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                                       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                                       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                                       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
+r AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM j),
+s AS (SELECT host, CASE ruled WHEN 'allow' THEN 1 ELSE -1 END AS kind, count(*) AS n FROM r WHERE ruled IS NOT NULL GROUP BY ALL),
+m0 AS MATERIALIZED (SELECT host, kind, n * ({url_filters.UNITS} // greatest(1, (SELECT sum(n) FROM s)::BIGINT)) AS mass FROM s),
+h AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?is)\\b(?:href|src)\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^"''\\s>/?#\\\\]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM r),
+l AS (SELECT DISTINCT src, dst FROM h WHERE src <> '' AND dst <> '' AND src <> dst),
+b AS (SELECT 1 AS kind, src, dst FROM l UNION ALL SELECT -1, dst, src FROM l),
+e AS MATERIALIZED (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS degree FROM b),
+{_steps_sql(url_filters.STEPS)},
+g AS (SELECT host, sum(CASE WHEN kind = 1 THEN mass ELSE 0 END)::BIGINT AS trust, sum(CASE WHEN kind = -1 THEN mass ELSE 0 END)::BIGINT AS distrust FROM m{url_filters.STEPS} GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM r LEFT JOIN g ON r.host = g.host
+"""
+
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_join": OP9_SQL, "op12_url_filters": OP12_SQL, "op13_collocations": OP13_SQL}
