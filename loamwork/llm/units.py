@@ -30,7 +30,8 @@ _BARE = "\x00"
 #: White space other than lone spaces and line feeds within a text.
 _IRREGULAR = f"\\x00|[ \n][ \n]|^[ \n]|[ \n]$|{_OTHER_SPACE}"
 _MARKS = ".,;:!?#$%&*|"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters whose lower case is one letter; that of U+0130 ends in a mark, which other marks join.
+_LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

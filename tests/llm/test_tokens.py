@@ -48,6 +48,18 @@ def test_units_give_the_librarys_ids(name, drops):
             assert of.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_every_letter_before_and_after_every_mark(name, drops):
+    """Code points up to U+2FFF, alone and behind a letter; U+0130's lower case is two code points."""
+    path = public_tokenizers.path(name)
+    own, library = UnitEncoder(path, drops), Tokenizer.from_file(path)
+    texts = ["BELEDİYESİ.", "İ! İ|x aİ,b"] + [" ".join(f"{chr(c)}{m} a{chr(c)}{m} {m}{chr(c)} a{m}{chr(c)}b" for m in ".,;:!?#$%&*|") for c in range(0x3000)]
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    ids, ends = own.ids(pa.array(texts, pa.string()))
+    for k, of in enumerate(np.split(ids, ends[:-1])):
+        assert of.tolist() == want[k], texts[k]
+
+
 @pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_units_give_the_librarys_ids_of_whole_documents(name, drops, monkeypatch):
     monkeypatch.setattr(units, "CACHE_UNITS", 20_000)
