@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +21,10 @@ from .fm_index import FMIndex
 from .units import slices
 
 WINDOW = 10
-#: Text of the items handed to the tasks at a time.
-BLOCK_BYTES = 32 << 20
-SHARD_CHARS = 1 << 23
+#: Text of the items handed to the tasks at a time: some 100 MB on the driver, 300 MB if no word comes twice.
+BLOCK_BYTES = 8 << 20
+#: Text that a task takes together, words of an index, and windows searched at a time.
+SHARD_CHARS, SHARD_WORDS, PATTERNS = 1 << 23, 1 << 20, 1 << 15
 #: a-z, 0-9 and all beyond ASCII are parts of words; A-Z are lowered.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -39,27 +39,55 @@ def _in_order(items: set[str | None]) -> list[str | None]:
 
 
 class Windows:
-    """The windows of a block of items: rows of word numbers by length, and the items of each."""
+    """The windows of a block of items, by length: where each distinct one starts in the items' words, and whose it is.
+
+    Some 20 bytes a word of the items beside the vocabulary; rows of words are made a few thousand windows at a time.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.names = _in_order({item for item, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
         self.vocabulary: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
+        parts, starts, owners, sizes, at = [], [], [], [], 0
         for item, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if numbers:
-                size = min(window, len(numbers))
-                for k in range(len(numbers) - size + 1):
-                    of[tuple(numbers[k : k + size])].add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for x in of:
-            by_length[len(x)].append(x)
-        self.groups = [(size, np.array(rows, np.int64), [_in_order(of[x]) for x in rows]) for size, rows in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
+            own = words_of(text)
+            if not own:
+                continue
+            parts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own), np.int32, len(own)))
+            size = min(window, len(own))
+            many = len(own) - size + 1
+            starts.append(np.arange(at, at + many, dtype=np.int64))
+            owners.append(np.full(many, place[item], np.int32))
+            sizes.append(np.full(many, size, np.int16))
+            at += len(own)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        start, owner, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, owners, sizes))
+        self.groups = [(int(k), *self._distinct(start[size == k], owner[size == k], int(k))) for k in np.unique(size)]
+        self.shortest, self.longest = (self.groups[0][0], self.groups[-1][0]) if self.groups else (0, 0)
+
+    def _distinct(self, start: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of distinct windows, where each one's owners begin, and the owners.  Windows whose hashes meet are compared
+        word by word; different ones with the same hash may stand more than once, which changes no result."""
+        key = np.zeros(len(start), np.uint64)
+        for k in range(size):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + self.words[start + k].astype(np.uint64)
+        order = np.lexsort((owner, key))
+        start, owner, key = start[order], owner[order], key[order]
+        same = np.zeros(len(start), bool)
+        same[1:] = key[1:] == key[:-1]
+        for k in range(size):
+            same[1:] &= self.words[start[1:] + k] == self.words[start[:-1] + k]
+        again = same.copy()
+        again[1:] &= owner[1:] == owner[:-1]
+        kept = ~again
+        begins = np.flatnonzero(~same[kept])
+        return start[kept][begins], np.append(begins, int(kept.sum())), owner[kept]
 
     def scan(self, texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, set[str | None]]]:
         """For each document (a list of words): which words are hit, and the items with windows in it."""
         sizes = np.array([len(x) for x in texts], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        text_ends = np.cumsum(sizes)
+        starts = text_ends - sizes
         total = int(sizes.sum())
         get = self.vocabulary.get
         known = np.fromiter((get(w, 0) for x in texts for w in x), np.int64, total)
@@ -74,31 +102,45 @@ class Windows:
         begin, finish = begin[long], finish[long]
         change = np.zeros(total + 1, np.int64)
         items: list[set[str | None]] = [set() for _ in texts]
-        if len(begin):
-            spans = finish - begin + 1
+        for first, beyond in self._shards(begin, finish):
+            spans = beyond - first + 1
             ends = np.cumsum(spans)
-            place = np.arange(int(ends[-1])) - np.repeat(ends - spans, spans) + np.repeat(begin, spans)
+            place = np.arange(int(ends[-1])) - np.repeat(ends - spans, spans) + np.repeat(first, spans)
             stop = np.zeros(len(place), bool)
             stop[ends - 1] = True
             index = FMIndex(np.where(stop, 0, known[np.minimum(place, total - 1)]))
-            for size, patterns, names in self.groups:
-                low, high = index.search(patterns)
-                found = np.flatnonzero(high > low)
-                count = (high - low)[found]
-                if not len(found):
-                    continue
-                which = np.repeat(found, count)
-                rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[found], count)
-                at = place[index.locate(rows)]
-                np.add.at(change, at, 1)
-                np.add.at(change, at + size, -1)
-                doc = np.searchsorted(starts + sizes, at, side="right")
-                for pair in np.unique(doc * len(patterns) + which).tolist():
-                    items[pair // len(patterns)].update(names[pair % len(patterns)])
+            for size, firsts, offsets, owners in self.groups:
+                for k in range(0, len(firsts), PATTERNS):
+                    low, high = index.search(self.words[firsts[k : k + PATTERNS, None] + np.arange(size)].astype(np.int64))
+                    found = np.flatnonzero(high > low)
+                    count = (high - low)[found]
+                    if not len(found):
+                        continue
+                    which = np.repeat(found, count) + k
+                    rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[found], count)
+                    at = place[index.locate(rows)]
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + size, -1)
+                    doc = np.searchsorted(text_ends, at, side="right")
+                    for pair in np.unique(doc * len(firsts) + which).tolist():
+                        own = owners[offsets[pair % len(firsts)] : offsets[pair % len(firsts) + 1]]
+                        items[pair // len(firsts)].update(self.names[x] for x in own.tolist())
         hit = np.cumsum(change[:-1]) > 0
         for a, n, own in zip(starts.tolist(), sizes.tolist(), items, strict=True):
             yield hit[a : a + n], own
 
+    def _shards(self, begin: np.ndarray, finish: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The runs in shards of about SHARD_WORDS; a longer run is cut, with so many words in both parts that no window is lost."""
+        step = max(SHARD_WORDS, 2 * self.longest)
+        if len(begin) and int((finish - begin).max()) > step:
+            pieces = [(a, min(a + step, b)) for x, b in zip(begin.tolist(), finish.tolist(), strict=True) for a in range(x, max(x + 1, b - self.longest + 1), step - self.longest + 1)]
+            begin, finish = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+        sizes, at = np.cumsum(finish - begin + 1), 0
+        while at < len(begin):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + step, side="right")))
+            yield begin[at:end], finish[at:end]
+            at = end
+
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[tuple[int, int, list[tuple[str | None, str]]]]:
     """Items as (block, blocks, list of (id, text)) of at most about BLOCK_BYTES each; an item longer than that is a block.
