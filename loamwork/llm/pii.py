@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,12 +114,22 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         found += [(1, *m.span()) for m in _BRACKET_IP.finditer(text) if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0]))]
         found += [(2, *m.span()) for m in _DOTTED_CARD.finditer(text)]
         found += [(3, *m.span()) for p in (_LOCAL_PHONE, _ZERO_PHONE) for m in p.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
+    # Disjoint taken spans in order, so that a new one is compared with its two neighbours alone.
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out = []
     for kind, a, b in sorted(found):
-        if all(b <= x or y <= a for x, y in taken):
+        at = bisect_left(starts, b)
+        if not at or ends[at - 1] <= a:
             out.append((kind, a, b))
-            taken.append((a, b))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return out
 
 

@@ -384,3 +384,50 @@ def test_overlapping_items_are_cut_alike_in_any_blocks(spark, monkeypatch):
     assert counts[0] == counts[1]
     assert decontaminate.remove_passages(docs.where("false"), benchmark).count() == 0
     assert decontaminate.remove_passages(docs, benchmark.where("false")).count() == 6
+
+
+def test_proposals_of_a_long_list_of_numbers():
+    """Each span is compared with its neighbours alone: a text of 50,000 numbers takes seconds."""
+    import time
+
+    text = "".join(f"tel 030 {k % 900 + 100} {k % 9000 + 1000}; " for k in range(50_000))
+    began = time.perf_counter()
+    found = pii.proposals(text, [])
+    assert time.perf_counter() - began < 20 and len(found) == 50_000
+    base = [(3, 4, 12), (0, 10, 20), (1, 100, 101)]
+    rest = pii.proposals(text[:2000], base)
+    assert rest == [x for x in pii.proposals(text[:2000], []) if all(x[2] <= a or b <= x[1] for _, a, b in base)]
+
+
+def test_windows_of_many_items_are_small():
+    """32 MB of items are four blocks; one takes under 300 MB on the driver, pickled to workers under 50."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(60_000)]
+    size, items = 0, []
+    while size < decontaminate.BLOCK_BYTES:
+        text = " ".join(rng.choices(words, k=400))
+        items.append((str(len(items)), text))
+        size += len(text)
+    tracemalloc.start()
+    windows = decontaminate.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(pickle.dumps(windows)) < 50e6
+    hit, names = next(iter(windows.scan([decontaminate.words_of("x " + items[5][1][:200] + " y")])))
+    assert names == {"5"} and hit.sum() > 10
+
+
+def test_windows_over_cut_runs(monkeypatch):
+    """Long runs of known words are cut with an overlap, and shards hold few words: nothing is lost."""
+    rng = random.Random(2)
+    items = [(str(k), " ".join(rng.choices("abcd", k=rng.choice([2, 5, 10, 14])))) for k in range(30)]
+    texts = [" ".join(rng.choices("abcd", k=n)) for n in (1, 9, 10, 400, 30)]
+    words = [decontaminate.words_of(x) for x in texts]
+    want = [(h.tolist(), o) for h, o in decontaminate.Windows(items).scan(words)]
+    for size, many in ((21, 3), (40, 1), (7, 1000)):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        monkeypatch.setattr(decontaminate, "PATTERNS", many)
+        assert [(h.tolist(), o) for h, o in decontaminate.Windows(items).scan(words)] == want
