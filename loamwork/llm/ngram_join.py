@@ -129,7 +129,7 @@ def _bitmap(s: np.ndarray) -> bytes:
 def _frequent(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in column_slices(batch.column(0), 1 << 25):
+            for a, b in column_slices(batch.column(0), 1 << 23):
                 tokens = np.sort(np.concatenate([*shingle_sets(batch.column(0).slice(a, b - a), n), np.zeros(0, np.uint64)]))
                 first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)])
                 count = np.diff(first, append=len(tokens))

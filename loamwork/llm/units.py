@@ -177,7 +177,7 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
-def column_slices(column: pa.Array, size: int = 1 << 25) -> Iterator[tuple[int, int]]:
+def column_slices(column: pa.Array, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes."""
     start, before = 0, 0
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
