@@ -105,7 +105,7 @@ def member(path: str, is_dir: bool, rules: list[Rule]) -> bool:
     return verdict
 
 
-def _verdict(path: Column, is_dir: bool, rules: list[Rule]) -> Column:
+def verdict(path: Column, is_dir: bool, rules: list[Rule]) -> Column:
     out = F.lit(False)
     for r in rules:
         if is_dir or not r.directories_only:
@@ -117,7 +117,7 @@ def contains(path: Column, rules: list[Rule], is_dir: bool = False) -> Column:
     """Whether a relative path or a directory above it is in the set."""
     if not rules:
         return F.lit(False)
-    return _verdict(path, is_dir, rules) | F.exists(ancestors(path), lambda a: _verdict(a, True, rules))
+    return verdict(path, is_dir, rules) | F.exists(ancestors(path), lambda a: verdict(a, True, rules))
 
 
 def classify(path: Column, exclude: list[Rule], vendor: list[Rule]) -> Column:

@@ -13,25 +13,39 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stem import stem, stem_word
+
 
 @dataclass(frozen=True)
 class Analyzer:
-    """pattern: of a term in lower-cased text, for both the JVM's and Python's regular expressions."""
+    """pattern: of a term in lower-cased text, for both the JVM's and Python's regular expressions; stems: English ones for
+    words, after the stop list."""
 
     pattern: str = "[a-z0-9]+"
     stop: frozenset[str] = field(default_factory=frozenset)
-
-    def terms(self, text: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
-        return F.array_except(found, F.array(*[F.lit(x) for x in sorted(self.stop)])) if self.stop else found
+    stems: bool = False
 
     def all_terms(self, text: Column) -> Column:
-        """With repeats, for term counts."""
+        """With repeats, for term counts; stop words are left in, as no query asks for them."""
+        found = self._words(text)
+        return F.transform(found, stem) if self.stems else found
+
+    def counted_terms(self, text: Column) -> Column:
+        """With repeats and without stop words, for an index."""
+        found = self._words(text)
+        if self.stop:
+            found = F.filter(found, lambda x: ~F.array_contains(self._stopped(), x))
+        return F.transform(found, stem) if self.stems else found
+
+    def _words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
 
+    def _stopped(self) -> Column:
+        return F.array(*[F.lit(x) for x in sorted(self.stop)])
+
     def query_terms(self, query: str) -> list[str]:
         found = regex.findall(self.pattern, query.lower())
-        return sorted({x for x in found if x not in self.stop})
+        return sorted({stem_word(x) if self.stems else x for x in found if x not in self.stop})
 
 
 PLAIN = Analyzer()
@@ -40,6 +54,8 @@ UNICODE = Analyzer(pattern="[\\p{L}\\p{N}_]+")
 # Common English function words.
 ENGLISH_STOP = frozenset("a an and are as at be but by for from has have if in into is it its no not of on or such that the their then there these they this to was were will with".split())
 ENGLISH = Analyzer(stop=ENGLISH_STOP)
+#: Words of any inflection meet at their stem.
+STEMMED = Analyzer(stop=ENGLISH_STOP, stems=True)
 
 
 def matches_all(terms: Column, query: list[str]) -> Column:

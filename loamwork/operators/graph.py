@@ -27,15 +27,33 @@ def related(symbols: DataFrame, edges: DataFrame, name: str, query: str) -> Data
     return symbols.join(ids, "chunk_id", "left_semi").orderBy("file_path", "start_line", "chunk_id")
 
 
-def resolve(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
-    """src, dst, relation of candidates (candidate, src, file_path, to_name, relation).
+#: Candidates of one name that a task joins with its definitions; a name with more is dealt to several.
+HOT_NAME = 100_000
+
+
+def resolved(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """src, dst, relation, to_name, file_path of candidates (src, file_path, to_name, relation).
 
-    A name resolves to all symbols of that name in the caller's own file, or, if it has none, to all there are.
+    A name resolves to all symbols of that name in the caller's own file, or, if it has none, to all there are.  Names
+    are looked for in the own file first, by name and file; only what is left meets all definitions of its name.
     """
     targets = symbols.select(F.col("name").alias("to_name"), F.col("chunk_id").alias("dst"), F.col("file_path").alias("there"))
-    found = candidates.join(targets, "to_name").withColumn("local", F.col("there") == F.col("file_path"))
-    has_local = F.max("local").over(Window.partitionBy("candidate"))
-    return distinct_edges(found.withColumn("has_local", has_local).where("local OR NOT has_local").select("src", "dst", "relation"))
+    own = candidates.select("src", "file_path", "to_name", "relation").distinct()
+    local = own.join(targets.withColumnRenamed("there", "file_path"), ["to_name", "file_path"])
+    named = targets.select("to_name", F.col("there").alias("file_path")).distinct()
+    rest = own.join(named, ["to_name", "file_path"], "left_anti")
+    # Names that much calls are dealt to several tasks, and their definitions to each of them; there are few such names.
+    hot = F.broadcast(rest.groupBy("to_name").agg(F.count("*").alias("n")).where(F.col("n") > HOT_NAME).select("to_name", F.ceil(F.col("n") / HOT_NAME).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rest.join(hot, "to_name", "left").withColumn("part", F.pmod(F.xxhash64("src", "relation"), parts).cast("int")).drop("parts")
+    spread = targets.join(hot, "to_name", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "there")
+    columns = ["src", "dst", "relation", "to_name", "file_path"]
+    return local.select(*columns).unionByName(dealt.join(spread, ["to_name", "part"]).select(*columns)).where(F.col("relation").isin(*RELATIONS)).distinct()
+
+
+def resolve(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """src, dst, relation of candidates, by name: see resolved."""
+    return distinct_edges(resolved(candidates, symbols))
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -86,13 +104,17 @@ def name_map(symbols: DataFrame, per_file: bool = False) -> DataFrame:
     return symbols.groupBy(*(["file_path"] if per_file else []), "name").agg(F.min("chunk_id").alias("chunk_id"))
 
 
-def patch(edges: DataFrame, candidates: DataFrame, symbols: DataFrame, changed_files: DataFrame, affected_names: DataFrame) -> DataFrame:
-    """Edges after a change, recomputed only for candidates of changed files or with affected names.
+def patched(edges: DataFrame, candidates: DataFrame, symbols: DataFrame, changed_files: DataFrame, affected_names: DataFrame) -> DataFrame:
+    """Edges (as of resolved) after a change, recomputed only for candidates of changed files or with affected names.
 
-    edges needs to_name and file_path (of the candidate) beside src, dst, relation; equals a full resolve.
+    Equals a full resolve.
     """
-    again = candidates.join(changed_files.select("file_path"), "file_path", "left_semi").unionByName(
-        candidates.join(changed_files.select("file_path"), "file_path", "left_anti").join(affected_names.select(F.col("name").alias("to_name")), "to_name", "left_semi")
-    )
-    kept = edges.join(changed_files.select("file_path"), "file_path", "left_anti").join(affected_names.select(F.col("name").alias("to_name")), "to_name", "left_anti")
-    return distinct_edges(kept.select("src", "dst", "relation").unionByName(resolve(again, symbols)))
+    files, names = changed_files.select("file_path"), affected_names.select(F.col("name").alias("to_name"))
+    again = candidates.join(files, "file_path", "left_semi").unionByName(candidates.join(files, "file_path", "left_anti").join(names, "to_name", "left_semi").select(*candidates.columns))
+    kept = edges.join(files, "file_path", "left_anti").join(names, "to_name", "left_anti")
+    return kept.select("src", "dst", "relation", "to_name", "file_path").unionByName(resolved(again, symbols)).distinct()
+
+
+def patch(edges: DataFrame, candidates: DataFrame, symbols: DataFrame, changed_files: DataFrame, affected_names: DataFrame) -> DataFrame:
+    """src, dst, relation of patched."""
+    return distinct_edges(patched(edges, candidates, symbols, changed_files, affected_names))

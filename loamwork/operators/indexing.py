@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,60 +17,93 @@ from . import graph
 
 MAX_PARSED = 1024 * 1024
 BACKFILL = 128
-_CHUNK = pa.schema([("file_version", pa.string()), ("file_path", pa.string()), ("ord", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())])
-_SYMBOL = pa.schema([("file_version", pa.string()), ("file_path", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())])
-_CANDIDATE = pa.schema([("file_version", pa.string()), ("file_path", pa.string()), ("from_ord", pa.int32()), ("from_line", pa.int32()), ("to_name", pa.string()), ("relation", pa.string())])
-
-
-def _rows(kind: str, limit: int):
-    schema = {"chunk": _CHUNK, "symbol": _SYMBOL, "candidate": _CANDIDATE}[kind]
+ANALYSIS = (
+    "version string, path string, tier short, chunks array<struct<ord:int,start_line:int,end_line:int,content:string>>, "
+    "symbols array<struct<ord:int,name:string,kind:string,start_line:int,end_line:int>>, candidates array<struct<from_ord:int,from_line:int,to_name:string,relation:string>>, problem string"
+)
+_NUMBER, _TEXT = pa.int32(), pa.string()
+_LISTS = [
+    pa.list_(pa.struct([("ord", _NUMBER), ("start_line", _NUMBER), ("end_line", _NUMBER), ("content", _TEXT)])),
+    pa.list_(pa.struct([("ord", _NUMBER), ("name", _TEXT), ("kind", _TEXT), ("start_line", _NUMBER), ("end_line", _NUMBER)])),
+    pa.list_(pa.struct([("from_ord", _NUMBER), ("from_line", _NUMBER), ("to_name", _TEXT), ("relation", _TEXT)])),
+    _TEXT,
+]
+#: Changes whenever a parser or the chunker would give something else for the same source.
+REVISION = 3
+
+
+def _analysed(limit: int, count: Accumulator | None):
+    """Of batches (version, path, tier, language, source): rows of ANALYSIS.  A file that can't be analysed has a problem, not a failed task."""
+    def one(row: dict) -> tuple:
+        source = row["source"] or ""
+        parsed = parse(source, row["language"] if len(source.encode()) <= MAX_PARSED else None)
+        s = parsed.symbols
+        cut = [{"ord": k, "start_line": c.start, "end_line": c.end, "content": c.content} for k, c in enumerate(chunks(source, [(x.start, x.end) for x in s], limit)) if c.content]
+        names = [{"ord": k, "name": x.name, "kind": x.kind, "start_line": x.start, "end_line": x.end} for k, x in enumerate(s)]
+        found = [{"from_ord": i, "from_line": s[i].start, "to_name": s[j].name, "relation": "defines"} for i, j in defines(s)]
+        found += [{"from_ord": i, "from_line": s[i].start, "to_name": name, "relation": "calls"} for i, name in parsed.calls]
+        return cut, names, found, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = []
             for row in batch.to_pylist():
-                source = row["source"] or ""
-                parsed = parse(source, row["language"] if len(source.encode()) <= MAX_PARSED else None)
-                head = {"file_version": row["version"], "file_path": row["path"]}
-                if kind == "chunk":
-                    out = [head | {"ord": k, "start_line": c.start, "end_line": c.end, "content": c.content} for k, c in enumerate(chunks(source, [(s.start, s.end) for s in parsed.symbols], limit))]
-                elif kind == "symbol":
-                    out = [head | {"ord": k, "name": s.name, "kind": s.kind, "start_line": s.start, "end_line": s.end} for k, s in enumerate(parsed.symbols)]
-                else:
-                    s = parsed.symbols
-                    out = [head | {"from_ord": i, "from_line": s[i].start, "to_name": s[j].name, "relation": "defines"} for i, j in defines(s)]
-                    out += [head | {"from_ord": i, "from_line": s[i].start, "to_name": name, "relation": "calls"} for i, name in parsed.calls]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                try:
+                    done.append(one(row))
+                except Exception as e:  # one odd file must not stop the rest
+                    done.append(([], [], [], f"{type(e).__name__}: {e}"[:500]))
+            if count is not None:
+                count.add(len(done))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([x[k] for x in done], _LISTS[k]) for k in range(4)]], ["version", "path", "tier", "chunks", "symbols", "candidates", "problem"])
 
     return run
 
 
-def _analysed(files: DataFrame, kind: str, ddl: str, limit: int = MAX_BYTES) -> DataFrame:
-    return files.select("version", "path", "source", language(F.col("path")).alias("language")).mapInArrow(_rows(kind, limit), ddl)
+def analysed(files: DataFrame, limit: int = MAX_BYTES, count: Accumulator | None = None) -> DataFrame:
+    """Chunks, symbols and relation candidates of files (version, path, tier, source) in one pass, a row a file (ANALYSIS).
+
+    count: gets the number of files analysed.
+    """
+    rows = files.select("version", "path", F.col("tier").cast("short").alias("tier"), language(F.col("path")).alias("language"), "source")
+    return rows.mapInArrow(_analysed(limit, count), ANALYSIS)
+
+
+def chunk_rows(analysis: DataFrame) -> DataFrame:
+    """file_version, file_path, tier, ord, start_line, end_line, content, id, content_hash; ids derive from what they name."""
+    rows = analysis.select(F.col("version").alias("file_version"), F.col("path").alias("file_path"), "tier", F.explode("chunks").alias("x")).select("file_version", "file_path", "tier", "x.*")
+    return rows.withColumns({"id": F.sha2(F.concat_ws("\x1f", "file_version", "file_path", F.col("ord").cast("string")), 256), "content_hash": F.sha2("content", 256)})
+
+
+def symbol_rows(analysis: DataFrame) -> DataFrame:
+    return analysis.select(F.col("version").alias("file_version"), F.col("path").alias("file_path"), F.explode("symbols").alias("x")).select("file_version", "file_path", "x.*")
+
+
+def candidate_rows(analysis: DataFrame) -> DataFrame:
+    return analysis.select(F.col("version").alias("file_version"), F.col("path").alias("file_path"), F.explode("candidates").alias("x")).select("file_version", "file_path", "x.*")
 
 
 def chunk_files(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
-    """Chunks of files (version, path, tier, source) with ids that derive from what they name and content hashes."""
-    rows = _analysed(files, "chunk", "file_version string, file_path string, ord int, start_line int, end_line int, content string", limit)
-    rows = rows.where("content <> ''").withColumns({"id": F.sha2(F.concat_ws("\x1f", "file_version", "file_path", F.col("ord").cast("string")), 256), "content_hash": F.sha2("content", 256)})
-    return rows.join(files.select(F.col("version").alias("file_version"), "tier").distinct(), "file_version")
+    return chunk_rows(analysed(files, limit))
 
 
 def symbols_of(files: DataFrame) -> DataFrame:
-    return _analysed(files, "symbol", "file_version string, file_path string, ord int, name string, kind string, start_line int, end_line int")
+    return symbol_rows(analysed(files))
 
 
 def edge_candidates(files: DataFrame) -> DataFrame:
-    return _analysed(files, "candidate", "file_version string, file_path string, from_ord int, from_line int, to_name string, relation string")
+    return candidate_rows(analysed(files))
+
 
+def linked_candidates(candidates: DataFrame, chunks_: DataFrame) -> DataFrame:
+    """src, file_path, to_name, relation: candidates with the chunk that starts on their symbol's line."""
+    source = chunks_.groupBy("file_path", F.col("start_line").alias("from_line")).agg(F.min("id").alias("src"))
+    return candidates.join(source, ["file_path", "from_line"]).select("src", "file_path", "to_name", "relation")
 
-def structure(files: DataFrame, chunk_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """symbols, edges of the files of one checkout."""
-    nodes = graph.link_chunks(chunk_rows, symbols_of(files))
-    source = chunk_rows.groupBy("file_path", F.col("start_line").alias("from_line")).agg(F.min("id").alias("src"))
-    found = edge_candidates(files).join(source, ["file_path", "from_line"])
-    found = found.withColumn("candidate", F.xxhash64("file_path", "from_ord", "to_name", "relation"))
-    return nodes, graph.resolve(found, nodes)
+
+def structure(analysis: DataFrame, chunks_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbols, edges of the analysed files of one checkout."""
+    nodes = graph.link_chunks(chunks_, symbol_rows(analysis))
+    return nodes, graph.resolve(linked_candidates(candidate_rows(analysis), chunks_), nodes)
 
 
 def prepared(chunk_rows: DataFrame, backend: Backend, batch: int = 64) -> DataFrame:
@@ -91,13 +125,18 @@ def pending_groups(chunk_rows: DataFrame, limit: int = BACKFILL) -> DataFrame:
     return waiting.groupBy("content_hash").agg(F.min("content").alias("content"), F.count("*").alias("rows")).orderBy("content_hash").limit(limit)
 
 
+def embedded_groups(chunk_rows: DataFrame, backend: Backend, limit: int = BACKFILL) -> DataFrame:
+    """content_hash, embedding of one batch of waiting contents, without those that have no usable vector."""
+    return embed_column(pending_groups(chunk_rows, limit).select("content_hash", "content"), "content", backend, 0).where("embedding IS NOT NULL").select("content_hash", "embedding")
+
+
 def backfill(chunk_rows: DataFrame, backend: Backend, limit: int = BACKFILL) -> DataFrame:
     """chunk_rows after one batch of waiting contents is embedded and handed to all their copies.
 
     A content without a usable vector stays pending.
     """
-    made = embed_column(pending_groups(chunk_rows, limit).select("content_hash", "content"), "content", backend, 0).where("embedding IS NOT NULL").select("content_hash", F.col("embedding").alias("made"))
-    out = chunk_rows.join(F.broadcast(made), "content_hash", "left")
+    made = embedded_groups(chunk_rows, backend, limit).withColumnRenamed("embedding", "made")
+    out = chunk_rows.join(F.broadcast(made), "content_hash", "left")  # at most `limit` vectors
     use = (F.col("embedding_state") == "pending") & F.col("made").isNotNull()
     return out.withColumns({"embedding": F.when(use, F.col("made")).otherwise(F.col("embedding")), "embedding_state": F.when(use, "embedded").otherwise(F.col("embedding_state"))}).drop("made")
 

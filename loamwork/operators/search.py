@@ -37,8 +37,11 @@ def candidates(limit: int) -> int:
 def fulltext(chunks: DataFrame, query: str, limit: int | None = None, analyzer: Analyzer = PLAIN, text_col: str = "content", score: Column | None = None) -> DataFrame:
     """id, score of the chunks with all the query's terms, best first."""
     q = analyzer.query_terms(query)
-    terms = chunks.select("id", analyzer.all_terms(F.col(text_col)).alias("terms"))
-    found = terms.where(matches_all(F.col("terms"), q)).select("id", (score if score is not None else log_tf(F.col("terms"), q)).alias("score"))
+    if not q:
+        return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
+    # A text's terms are bound once and exploded to a score or none: a filter would extract them a second time.
+    rated = F.transform(F.array(analyzer.all_terms(F.col(text_col))), lambda terms: F.when(matches_all(terms, q), score if score is not None else log_tf(terms, q)))
+    found = chunks.select("id", F.explode(F.filter(rated, lambda x: x.isNotNull())).alias("score"))
     return found.orderBy(F.desc("score"), "id").limit(check_limit(limit))
 
 
@@ -81,21 +84,6 @@ def with_content(results: DataFrame, chunks: DataFrame, root: str) -> DataFrame:
     return shown.join(F.broadcast(results), "id").select("id", "file_path", "start_line", "end_line", "score", "content").orderBy(F.desc("score"), "id")
 
 
-def postings(chunks: DataFrame, analyzer: Analyzer = PLAIN, text_col: str = "content") -> DataFrame:
-    """term, id, tf: an inverted index, to be written clustered by term."""
-    terms = chunks.select("id", F.explode(analyzer.terms(F.col(text_col))).alias("term"))
-    return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
-
-
-def fulltext_indexed(index: DataFrame, query: str, limit: int | None = None, analyzer: Analyzer = PLAIN) -> DataFrame:
-    """As fulltext, from a written inverted index: reads the query's terms only."""
-    q = analyzer.query_terms(query)
-    own = index.where(F.col("term").isin(q)) if q else index.where(F.lit(False))
-    score = F.round(F.sum(F.lit(1.0) + F.log(F.col("tf").cast("double"))), 6)
-    found = own.groupBy("id").agg(score.alias("score"), F.count("*").alias("n")).where(F.col("n") == len(q))
-    return found.select("id", "score").orderBy(F.desc("score"), "id").limit(check_limit(limit))
-
-
 def coverage(chunks: DataFrame) -> DataFrame:
     """total, usable, pending, waiting, complete: how much of a table semantic search can see."""
     return chunks.agg(

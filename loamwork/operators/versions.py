@@ -17,11 +17,29 @@ def visible(base: DataFrame, deltas: DataFrame) -> DataFrame:
     return kept.unionByName(own.where("version IS NOT NULL"))
 
 
-def visible_all(base: DataFrame, deltas: DataFrame, checkouts: DataFrame) -> DataFrame:
-    """checkout_id, path, version of many checkouts (one column checkout_id) in one plan."""
+def visible_sets(base: DataFrame, deltas: DataFrame) -> DataFrame:
+    """path, version, everyone, checkouts: what each version is seen by, one row a path and version.
+
+    everyone: all checkouts but those listed (a base entry and the checkouts that override it), else those listed alone.
+    Base entries are never multiplied by checkouts.
+    """
     own = deltas.select("checkout_id", "path", "version")
-    kept = checkouts.select("checkout_id").crossJoin(base.select("path", "version")).join(own.select("checkout_id", "path"), ["checkout_id", "path"], "left_anti")
-    return kept.unionByName(own.join(checkouts.select("checkout_id"), "checkout_id", "left_semi").where("version IS NOT NULL"))
+    over = own.groupBy("path").agg(F.collect_set("checkout_id").alias("checkouts"))
+    none = F.array().cast("array<string>")
+    below = base.select("path", "version").join(over, "path", "left").select("path", "version", F.lit(True).alias("everyone"), F.coalesce(F.col("checkouts").cast("array<string>"), none).alias("checkouts"))
+    above = own.where("version IS NOT NULL").groupBy("path", "version").agg(F.collect_set(F.col("checkout_id").cast("string")).alias("checkouts"))
+    return below.unionByName(above.select("path", "version", F.lit(False).alias("everyone"), "checkouts"))
+
+
+def visible_all(base: DataFrame, deltas: DataFrame, checkouts: DataFrame) -> DataFrame:
+    """checkout_id, path, version of many checkouts (one column checkout_id), a row for each that sees it.
+
+    The ids of the checkouts (a registry's, not the data's) go into the plan.
+    """
+    kind = checkouts.schema["checkout_id"].dataType
+    ids = F.array(*[F.lit(str(r["checkout_id"])) for r in checkouts.select("checkout_id").distinct().orderBy("checkout_id").collect()]).cast("array<string>")
+    seen = F.when(F.col("everyone"), F.array_except(ids, "checkouts")).otherwise(F.array_intersect("checkouts", ids))
+    return visible_sets(base, deltas).select(F.explode(seen).alias("checkout_id"), "path", "version").withColumn("checkout_id", F.col("checkout_id").cast(kind))
 
 
 def masked_chunks(chunks: DataFrame, view: DataFrame) -> DataFrame:

@@ -99,10 +99,10 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """calls: distinct (part, supplier) of lineitem; defines: nation of a supplier; inherits_from: region of a nation."""
+    """calls: distinct (part, supplier) of lineitem; defines: nation of a supplier; inherits_from: region of a nation; imports: nation of a supplier."""
     link = lambda df, p, a, q, b, r: df.select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src"), F.concat(F.lit(q), F.col(b).cast("string")).alias("dst"), F.lit(r).alias("relation"))
     calls = link(read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), "p", "l_partkey", "s", "l_suppkey", "calls")
-    return calls.unionByName(link(read(spark, sf_dir, "supplier"), "n", "s_nationkey", "s", "s_suppkey", "defines")).unionByName(link(read(spark, sf_dir, "nation"), "n", "n_nationkey", "r", "n_regionkey", "inherits_from"))
+    return calls.unionByName(link(read(spark, sf_dir, "supplier"), "n", "s_nationkey", "s", "s_suppkey", "defines")).unionByName(link(read(spark, sf_dir, "nation"), "n", "n_nationkey", "r", "n_regionkey", "inherits_from")).unionByName(link(read(spark, sf_dir, "supplier"), "s", "s_suppkey", "n", "s_nationkey", "imports"))
 
 
 def some_name(spark: SparkSession, sf_dir: str, table: str, column: str) -> str:

@@ -46,7 +46,7 @@ _SYMBOLS = """(SELECT 'p' || p_partkey AS chunk_id, p_name AS name, 'function' A
  UNION ALL SELECT 'n' || n_nationkey, n_name, 'module', n_regionkey::VARCHAR, n_nationkey::INT, (n_nationkey + 5)::INT FROM nation
  UNION ALL SELECT 'r' || r_regionkey, r_name, 'module', 'world', r_regionkey::INT, (r_regionkey + 5)::INT FROM region)"""
 _EDGES = """(SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, 'calls' AS relation FROM lineitem UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'defines' FROM supplier
- UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'inherits_from' FROM nation)"""
+ UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'inherits_from' FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'imports' FROM supplier)"""
 
 
 def _hop(table: str, column: str, relation: str, incoming: bool) -> str:
@@ -72,6 +72,9 @@ ORACLE_SQL: dict[str, str] = {
     "fulltext_indexed": _ft(_SEARCHABLE, 20),
     "fulltext_no_terms": "SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE false",
     "semantic_search": _sem(_VECTORS, 20),
+    "semantic_indexed": f"""SELECT query, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM
+ (SELECT q.vec_id AS query, r.id, round(list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM {_VECTORS} r, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
+ WHERE score > 0) WHERE rank <= 10""",
     "hybrid_rrf": _fuse([_sem(_SEARCHABLE, 200), _ft(_SEARCHABLE, 200)], 20),
     "hybrid_candidates_cap": _fuse([_sem(_SEARCHABLE, 1000), _ft(_SEARCHABLE, 1000)], 200),
     "rrf_single_list": _fuse([_sem(_VECTORS, 30)], 20),
@@ -107,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
     "defines": _hop("nation", "n_name", "defines", False),
     "inheritors": _hop("region", "r_name", "inherits_from", True),
     "inherits": _hop("nation", "n_name", "inherits_from", False),
-    "imports": _hop("part", "p_name", "imports", False),
+    "imports": _hop("supplier", "s_name", "imports", False),
     "edge_resolution_local_first": f"""WITH s AS (SELECT file_path || '/' || ord AS chunk_id, name, (file_path % 500)::VARCHAR AS file, ord FROM {_SPANS}),
  j AS (SELECT c.chunk_id AS src, t.chunk_id AS dst, c.file = t.file AS near FROM s c JOIN s t ON c.name = t.name),
  k AS (SELECT DISTINCT src, dst FROM j WHERE near OR src NOT IN (SELECT src FROM j WHERE near))
@@ -155,6 +158,9 @@ ORACLE_SQL: dict[str, str] = {
     "rule_violations": f"""SELECT rule, rows FROM (SELECT 'content is not empty' AS rule, count(*) FILTER (id % 50 = 0) AS rows FROM {_CHUNKS} UNION ALL SELECT 'lines are in order', count(*) FILTER (id % 40 = 0) FROM {_CHUNKS}
  UNION ALL SELECT 'embedding state is known', count(*) FILTER (id % 30 = 0) FROM {_CHUNKS} UNION ALL SELECT 'first-party chunks are never pending', count(*) FILTER (id % 30 <> 0 AND id % 31 = 0 AND tier = 1) FROM {_CHUNKS}) WHERE rows > 0""",
     "line_counts": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END::INT AS lines, strlen(text)::INT AS bytes, '/root/' || source AS path FROM documents",
-    "parse_symbols": """SELECT doc_id::VARCHAR AS file_version, 'f' || doc_id || '.py' AS file_path, ord::INT AS ord, name, kind, s::INT AS start_line, e::INT AS end_line FROM documents,
- LATERAL (VALUES (0, 'os', 'import', 1, 1), (1, 'f' || doc_id, 'function', 3, 5), (2, 'C', 'class', 7, 9), (3, 'g', 'function', 8, 9)) v(ord, name, kind, s, e)""",
+    "parse_symbols": """SELECT 'f' || doc_id || '.' || ['py', 'js', 'rs', 'ts'][doc_id % 4 + 1] AS file_path, (k - 1)::INT AS ord, 'f' || k || '_' || regexp_extract(line, '[a-z]+') AS name,
+ CASE WHEN doc_id % 4 = 3 THEN 'class' ELSE 'function' END AS kind, (4 * (k - 1) + 1)::INT AS start_line, (4 * (k - 1) + 3)::INT AS end_line
+ FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents)""",
+    "parse_calls": """SELECT 'f' || doc_id || '.' || ['py', 'js', 'rs', 'ts'][doc_id % 4 + 1] AS file_path, (k - 1)::INT AS from_ord, (4 * (k - 1) + 1)::INT AS from_line, 'g' || ((k - 1) % 7) AS to_name
+ FROM (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents) WHERE doc_id % 4 <> 3""",
 }

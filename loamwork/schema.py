@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TABLES: dict[str, str] = {
-    "families": "family_id string, name string, path string, identity_kind string, identity_key binary, embedding_dim int, paused boolean, enabled boolean, ever_indexed boolean, indexed_at timestamp, retired_at timestamp",
-    "checkouts": "checkout_id string, family_id string, root string, git_dir string, state string, is_base boolean, indexed_at timestamp, missing_since timestamp, retired_at timestamp, dirty_generation long",
+    "families": "family_id string, name string, path string, identity_kind string, identity_key binary, embedding_dim int, paused boolean, enabled boolean, ever_indexed boolean, indexed_at timestamp, retired_at timestamp, epoch long",
+    "checkouts": "checkout_id string, family_id string, root string, git_dir string, state string, is_base boolean, indexed_at timestamp, missing_since timestamp, retired_at timestamp, generation long, stamp string, problem string",
     "file_versions": "id string, path string, content_hash string, tier short, source string",
     "base_files": "path string, version string",
     "file_deltas": "checkout_id string, path string, version string",

@@ -1,17 +1,13 @@
 """Change streams: debounced batches, full audits, the state machine of an index, and counts of repeated events.
 
-The rules are pure functions over (state, events); the streaming queries wrap them, so a replay gives what a stream
-gives.  A batch opens with its first event and closes a fixed time later, however many events follow.
+The rules are pure functions over (state, events); module events has the stream, this one a replay of logged events.  A batch opens with its first event and closes a fixed time later, however many events follow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 DEBOUNCE_MS, AUDIT_S, BATCH_PATHS = 300, 300, 1024
@@ -58,45 +54,6 @@ def debounced(events: DataFrame, window_ms: int = DEBOUNCE_MS, key: str = "famil
     return rows.groupBy(F.col("k").alias(key), "batch").agg(F.timestamp_millis(F.min("ms")).alias("opened"), F.sort_array(F.collect_set("path")).alias("paths"))
 
 
-def debounced_stream(events: DataFrame, window_ms: int = DEBOUNCE_MS, key: str = "family_id", late: str = "0 seconds") -> DataFrame:
-    """The same over a stream: a key's events that the watermark hasn't passed are its state.
-
-    Batches close as event time goes on: one comes out when the watermark (the latest time seen, less `late`) has
-    passed its end, by a timer where no event of the key follows.  Equal input gives equal batches, however it is cut
-    into micro-batches; an event later than `late` is dropped.  The last batches of a source that ends come out when a
-    later event, of any key, moves the watermark on.
-    """
-    kind = events.schema[key].dataType.simpleString()
-
-    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        if not state.hasTimedOut:
-            held += [(int(m), p) for part in parts for m, p in zip(part["ms"], part["path"], strict=True)]
-        held = sorted(set(held))
-        now = state.getCurrentWatermarkMs()
-        numbers = batches([ms for ms, _ in held], window_ms)
-        closed: dict[int, tuple[int, set[str]]] = {}
-        keep = []
-        for (ms, path), n in zip(held, numbers, strict=True):
-            opened = closed.get(n, (ms, set()))[0]
-            if opened + window_ms <= now:
-                closed.setdefault(n, (ms, set()))[1].add(path)
-            else:
-                keep.append((ms, path))
-        if keep:
-            state.update(([ms for ms, _ in keep], [p for _, p in keep]))
-            state.setTimeoutTimestamp(max(keep[0][0] + window_ms, now + 1))
-        elif state.exists:
-            state.remove()
-        if closed:
-            out = [closed[n] for n in sorted(closed)]
-            yield pd.DataFrame({key: [k[0]] * len(out), "opened_ms": [o for o, _ in out], "paths": [sorted(p) for _, p in out]})
-
-    times = events.select(key, "path", "kind", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    rows = times.where(F.col("kind").isin(*KINDS)).select(key, "ts", F.unix_millis("ts").alias("ms"), "path")
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, opened_ms long, paths array<string>", "times array<long>, paths array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def drained(paths: list[str], most: int = BATCH_PATHS) -> list[list[str]]:
     """A batch's distinct paths in order, in drains of at most `most`; the next drain goes on where one stopped."""
     rest = sorted(set(paths))

@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from loamwork.functions import chunk, glob, parse
+from loamwork.functions import chunk, glob, parse, stem
 from loamwork.functions.embed import HashingBackend
 from loamwork.operators import policy
 from loamwork.sources import config, git
@@ -155,6 +157,63 @@ def test_git(tmp_path):
     assert [w.branch for w in git.parse_worktrees("worktree /a b\0HEAD 1\0branch refs/heads/m\0\0worktree /c\0HEAD 2\0detached\0prunable gone\0\0")] == ["refs/heads/m", None]
 
 
+def symbols(source, language):
+    p = parse.parse(source, language)
+    return [(x.name, x.kind, x.start, x.end) for x in p.symbols], [(p.symbols[i].name, c) for i, c in p.calls]
+
+
+def test_declarations_on_one_line():
+    assert symbols("function a(){ b(); } function c(){ d(); }", "javascript") == ([("a", "function", 1, 1), ("c", "function", 1, 1)], [("a", "b"), ("c", "d")])
+    assert symbols("mod m { fn inner() { g(); } }", "rust") == ([("m", "module", 1, 1), ("inner", "function", 1, 1)], [("inner", "g")])
+    assert symbols("struct A; impl A { fn x(&self) { y(); } }", "rust") == ([("A", "class", 1, 1), ("<anonymous>", "class", 1, 1), ("x", "function", 1, 1)], [("x", "y")])
+
+
+def test_rust_tokens():
+    source = r"""use std::{fmt, io as x};
+/* /* nested */ fn no() {} */
+/// doc
+#[attr(call())]
+pub(crate) async unsafe fn t<'a>(x: &'a str) -> impl Fn(u8) where T: Fn(u8) {
+    println!("{}", hidden());
+    let s = r#"fn no() { "#; let c = '{'; let d = b'\''; "\"{";
+    a.b().c(); Foo::new(p::q::<T>(1));
+    fn within() { deep(); }
+}
+trait T { fn signature(&self); fn body() { k(); } }
+macro_rules! m { ($x:expr) => { fn not() { no() } } }
+mod other;
+pub struct P(u8, Q);
+unsafe impl<T> Send for P<T> where T: Copy {}
+fn open() { if x { z();
+"""
+    found, calls = symbols(source, "rust")
+    assert found == [("std::{fmt, io as x}", "import", 1, 1), ("t", "function", 2, 10), ("within", "function", 9, 9), ("body", "function", 11, 11), ("other", "module", 13, 13), ("P", "class", 14, 14), ("<anonymous>", "class", 15, 15), ("open", "function", 16, 16)]
+    assert [c for f, c in calls if f == "t"] == ["b", "c", "new", "q", "deep"] and [c for f, c in calls if f != "t"] == ["deep", "k", "z"]
+
+
+def test_script_tokens():
+    source = """import a, {b} from "x";
+import 'side'
+export default class Foo extends mix({}) { m() { n(); } static async k(a) { return `t ${ l(`${q()}`) } }`; } x = y(); }
+const f = function g() { z(); };
+export async function h(a = dflt()) { if (a) { i?.j(); } new K(); return /fn(}/.test(s) / 2; }
+export function over(a: string): void;
+export function typed(a: {b: number}): {c: string} { u<T>(1); v(); }
+foo(function inner() { s(); })
+function* gen() { t("don't }"); }
+// function no() {
+function last() { w()
+"""
+    found, calls = symbols(source, "typescript")
+    assert found == [("x", "import", 1, 1), ("side", "import", 2, 2), ("Foo", "class", 3, 3), ("h", "function", 5, 5), ("typed", "function", 7, 7), ("gen", "function", 9, 9), ("last", "function", 10, 11)]
+    assert calls == [("h", "dflt"), ("h", "j"), ("h", "test"), ("typed", "u"), ("typed", "v"), ("gen", "t"), ("last", "w")]
+
+
+def test_a_class_keeps_its_good_methods():
+    source = "import os\nclass A:\n    @deco\n    def good(self):\n        return f(1)\n    def bad(self:\n        x = \n    def also(self):\n        return g()\n\ndef top():\n    h()\n"
+    assert symbols(source, "python") == ([("os", "import", 1, 1), ("A", "class", 2, 9), ("good", "function", 3, 5), ("also", "function", 8, 9), ("top", "function", 11, 12)], [("good", "f"), ("also", "g"), ("top", "h")])
+
+
 def test_debounce_is_anchored_at_the_first_event():
     assert changes.batches([0, 299, 300, 400, 599, 600, 2000]) == [0, 0, 1, 1, 1, 2, 3]
     assert changes.batches([]) == []
@@ -182,3 +241,35 @@ def test_suppressor():
     c = changes.Suppressor(2)
     assert c.observe(1) == (True, None) and c.observe(1) == (False, None) and c.observe(2) == (True, None) and c.observe(3) == (True, (1, 1))
     assert c.observe(2)[0] is False and c.drain() == [(2, 1)] and c.drain() == []
+
+
+# Words and their stems, as published with the algorithm.
+STEMS = """consign consign consigned consign consignment consign consistency consist consistently consist consolation consol consolatory consolatori console consol consolidating consolid
+consolingly consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir conspiring conspir constancy constanc knackeries knackeri knavish knavish kneeled kneel
+knightly knight knitted knit knives knive knobs knob knopp knopp running run flies fli ties tie gas gas this this kiwis kiwi hoping hope hopping hop cry cri by by say say happy happi generate generat
+generously generous communication communic skies sky dying die agreed agre relational relat conditional condit rationalize ration electricity electr hopefulness hope replacement replac adoption adopt
+controlling control rolled roll nationally nation inning inning proceed proceed early earli youth youth boyish boyish sayings say""".split()
+
+
+def test_stems(spark):
+    words = STEMS[::2]
+    assert [stem.stem_word(w) for w in words] == STEMS[1::2]
+    rng = random.Random(1)
+    ends = [x for s in (stem._STEP1A, stem._STEP1B, stem._STEP2, stem._STEP3, stem._STEP4) for x, *_ in s] + ["y", "e", "ll", "'s", "'", "'s'"]
+    made = ["".join(rng.choices("aeioubdgtnlsyw", k=rng.randrange(6))) + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ly"]) for _ in range(3000)]
+    odd = ["", "a", "é", "naïve", "x1s", "'tis", "''", "yy", "sky", "proceeds", "herrings"]
+    every = list(dict.fromkeys(words + made + odd))
+    got = {r["w"]: r["s"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", stem.stem(F.col("w")).alias("s")).collect()}
+    assert got == {w: stem.stem_word(w) for w in every}
+
+
+def test_stemmed_search(spark, tmp_path):
+    from loamwork.functions.text import STEMMED
+    from loamwork.operators import search, text_index
+
+    df = spark.createDataFrame([(1, "The runners were running and RAN"), (2, "he runs, she knits"), (3, "the knitting of this"), (4, None)], "id long, content string")
+    ids = lambda q: [r["id"] for r in search.fulltext(df, q, 10, STEMMED).collect()]
+    assert ids("run") == [1, 2] and ids("knitted runs") == [2] and ids("the of") == [] and ids("knit the") == [2, 3]
+    index = text_index.build(df, str(tmp_path / "i"), STEMMED)
+    for q in ("run", "knitted runs", "the of", "knit the"):
+        assert index.search(q, 10).collect() == search.fulltext(df, q, 10, STEMMED).collect()
