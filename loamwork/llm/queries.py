@@ -40,7 +40,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(load(spark, sf_dir, "documents"))
+    """With the number of fingerprints within three bits, for every document whose id is divisible by 100."""
+    return simhash.with_near_counts(spark, simhash.edited_fingerprints(load(spark, sf_dir, "documents")), F.col("doc_id") % 100 == 0)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

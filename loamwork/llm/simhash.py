@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions, text_or_empty
+from .common import Workspace, shuffle_partitions, text_or_empty
 
 BITS = 128
 #: Largest weight of a word, and words in a block: their product stays below 2**15, the top lane's room.
 MOST_WEIGHT, BLOCK_WORDS = 16, 2000
+#: Bits in which near fingerprints may differ, and fingerprints in a list of a block table.
+RADIUS, BUCKET = 3, 1000
 _LANES = 0x0001_0001_0001_0001
 
 
@@ -138,6 +140,78 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _numbers(bits: int) -> list[Column]:
+    return [F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(f"f{i}") for i in range(bits // 64)]
+
+
+def _masks(bounds: list[int], bits: int) -> list[list[int]]:
+    """Of each block of hex digits, its bits in each of the fingerprint's numbers, as signed 64-bit integers."""
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        whole = (1 << 4 * (b - a)) - 1 << bits - 4 * b
+        parts = [whole >> bits - 64 * (i + 1) & (1 << 64) - 1 for i in range(bits // 64)]
+        out.append([x - (1 << 64) if x >> 63 else x for x in parts])
+    return out
+
+
+def counted_within(found: DataFrame, asked: DataFrame, radius: int, blocks: int | None = None, bits: int = BITS) -> DataFrame:
+    """fingerprint, n_within for the fingerprints asked about: how many other distinct ones of `found` differ in at most `radius` bits.
+
+    The tables of within_radius, without their pairs: each key's fingerprints stand in lists of at most about BUCKET,
+    several to a key that many share, and a list is counted where a question meets it.  A fingerprint counts in the
+    first table that has both under one key, so once.  Both inputs have a column `fingerprint` (hex); repeats stand once.
+    """
+    blocks = blocks or 2 * radius
+    digits = bits // 4
+    if not 0 < radius < blocks <= digits:
+        raise ValueError("needs 0 < radius < blocks <= hex digits")
+    bounds = [round(i * digits / blocks) for i in range(blocks + 1)]
+    names, masks = [f"f{i}" for i in range(bits // 64)], _masks(bounds, bits)
+    chosen = list(combinations(range(blocks), blocks - radius))
+    kept = lambda i: [F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, masks[i], strict=True) if m]
+    keys = F.array(*[F.struct(F.lit(n).alias("at"), F.xxhash64(*[c for i in own for c in kept(i)]).alias("key")) for n, own in enumerate(chosen)])
+    spread = lambda df: df.select("fingerprint", *_numbers(bits)).distinct().select(*names, F.explode(keys).alias("x")).select(*names, "x.at", "x.key")
+    asks = spread(asked)
+    have = spread(found).join(asks.select("at", "key").distinct(), ["at", "key"], "left_semi")
+    hot = have.groupBy("at", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("at", "key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"), F.lit(0))
+    lists = have.join(hot, ["at", "key"], "left").groupBy("at", "key", part.alias("part")).agg(F.collect_list(F.struct(*names)).alias("own"))
+    asks = asks.join(hot, ["at", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    def near(x: Column) -> Column:
+        apart = [x[n].bitwiseXOR(F.col(n)) for n in names]
+        few = sum((F.bit_count(a) for a in apart), F.lit(0)).between(1, radius)
+        same = [F.lit(True) for _ in range(blocks)]
+        for i in range(blocks):
+            for a, m in zip(apart, masks[i], strict=True):
+                if m:
+                    same[i] = same[i] & (a.bitwiseAND(F.lit(m)) == 0)
+        first = F.coalesce(*[F.when(_every([same[i] for i in own]), n) for n, own in enumerate(chosen)])
+        return few & (first == F.col("at"))
+
+    met = asks.join(lists, ["at", "key", "part"]).select(*names, F.size(F.filter("own", near)).cast("long").alias("n"))
+    counts = met.groupBy(*names).agg(F.sum("n").alias("n_within"))
+    return counts.select(as_hex(names).alias("fingerprint"), "n_within")
+
+
+def _every(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def with_near_counts(spark: SparkSession, rows: DataFrame, asked: Column, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """rows (with a column `fingerprint`) and n_within: for those asked about, how many other distinct fingerprints of the
+    rows are within the radius; null for the rest."""
+    ws = Workspace(spark, "simhash")
+    rows = ws.save(rows, "fingerprints")
+    ws.release()
+    question = F.coalesce(asked, F.lit(False))
+    counts = counted_within(rows.select("fingerprint"), rows.where(question).select("fingerprint"), radius, None, bits)
+    return rows.where(question).join(counts, "fingerprint").select(*rows.columns, "n_within").union(rows.where(~question).withColumn("n_within", F.lit(None).cast("long")))
+
+
 def within_radius(found: DataFrame, radius: int, blocks: int | None = None, bits: int = BITS) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints (hex column `fingerprint`) that differ in 1 to `radius` bits, with `distance`.
 

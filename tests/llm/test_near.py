@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loamwork.llm import components, ngram_join, simhash
 from loamwork.llm import signature_tree as trees
@@ -175,3 +176,46 @@ def test_radius_search(spark):
     df = spark.createDataFrame([(f"{v:032x}",) for v in values for _ in range(2)], "fingerprint string")
     want = sorted((f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3)
     assert sorted(tuple(r) for r in simhash.within_radius(df, 3).collect()) == want
+
+
+def test_radius_counts(spark, monkeypatch):
+    """All within the radius are counted, once each, however many share a key: recall 1.0 against brute force."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    values = list({b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(6))) for b in base for _ in range(14)} | {0, 1, (1 << 128) - 1, 1 << 127})
+    asked = values[::3]
+    df = spark.createDataFrame([(f"{v:032x}",) for v in values for _ in range(2)], "fingerprint string")
+    ask = spark.createDataFrame([(f"{v:032x}",) for v in asked], "fingerprint string")
+    for bucket, radius in ((1000, 3), (3, 3), (1000, 2)):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        want = {f"{a:032x}": sum(1 <= (a ^ b).bit_count() <= radius for b in values) for a in asked}
+        assert {r["fingerprint"]: r["n_within"] for r in simhash.counted_within(df, ask, radius).collect()} == want
+    assert simhash.counted_within(df.limit(0), ask, 3).collect() == [] and simhash.counted_within(df, ask.limit(0), 3).collect() == []
+
+
+def test_near_counts_of_documents(spark):
+    rows = spark.createDataFrame([(1, "a" * 32), (100, "a" * 31 + "b"), (200, "0" * 32), (None, "a" * 32), (100, "a" * 31 + "b")], "doc_id long, fingerprint string")
+    got = simhash.with_near_counts(spark, rows, F.col("doc_id") % 100 == 0).collect()
+    assert sorted((r["doc_id"] or -1, r["n_within"] if r["n_within"] is not None else -1) for r in got) == [(-1, -1), (1, -1), (100, 1), (100, 1), (200, 0)]
+
+
+def test_fingerprints_equal_plain_simhash(spark):
+    """Bits by a plain sum of votes in Python, over the hashes Spark gives."""
+    texts = ["the cat sat on the mat", "The CAT", "", "x", "a b a b longerword", "w " * 4500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    found = {r["k"]: (r["f0"], r["f1"]) for r in simhash.fingerprint_rows(df, ["k"]).collect()}
+    words = sorted({w for t in texts for w in t.lower().split(" ")})
+    hashes = {r["w"]: (r["a"], r["b"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit(1)).alias("b")).collect()}
+
+    def weight(w):
+        size = min(len(w), 8)
+        return max(size * size // 4, min(size, 1))
+
+    for k, text in enumerate(texts):
+        own = text.lower().split(" ")
+        for i in range(2):
+            number = 0
+            for bit in range(64):
+                votes = sum(weight(w) if (hashes[w][i] & (1 << 64) - 1) >> bit & 1 else -weight(w) for w in own)
+                number |= (votes > 0) << bit
+            assert found[k][i] & (1 << 64) - 1 == number
