@@ -203,12 +203,15 @@ def _every(conditions: list[Column]) -> Column:
 
 def with_near_counts(spark: SparkSession, rows: DataFrame, asked: Column, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """rows (with a column `fingerprint`) and n_within: for those asked about, how many other distinct fingerprints of the
-    rows are within the radius; null for the rest."""
+    rows are within the radius; null for the rest.
+
+    radius + 1 tables: a block is 32 of 128 bits then, so even among billions of fingerprints few share one by chance.
+    """
     ws = Workspace(spark, "simhash")
     rows = ws.save(rows, "fingerprints")
     ws.release()
     question = F.coalesce(asked, F.lit(False))
-    counts = counted_within(rows.select("fingerprint"), rows.where(question).select("fingerprint"), radius, None, bits)
+    counts = counted_within(rows.select("fingerprint"), rows.where(question).select("fingerprint"), radius, radius + 1, bits)
     return rows.where(question).join(counts, "fingerprint").select(*rows.columns, "n_within").union(rows.where(~question).withColumn("n_within", F.lit(None).cast("long")))
 
 

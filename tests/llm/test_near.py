@@ -186,10 +186,10 @@ def test_radius_counts(spark, monkeypatch):
     asked = values[::3]
     df = spark.createDataFrame([(f"{v:032x}",) for v in values for _ in range(2)], "fingerprint string")
     ask = spark.createDataFrame([(f"{v:032x}",) for v in asked], "fingerprint string")
-    for bucket, radius in ((1000, 3), (3, 3), (1000, 2)):
+    for bucket, radius, blocks in ((1000, 3, 6), (3, 3, 4), (1000, 2, 3)):
         monkeypatch.setattr(simhash, "BUCKET", bucket)
         want = {f"{a:032x}": sum(1 <= (a ^ b).bit_count() <= radius for b in values) for a in asked}
-        assert {r["fingerprint"]: r["n_within"] for r in simhash.counted_within(df, ask, radius).collect()} == want
+        assert {r["fingerprint"]: r["n_within"] for r in simhash.counted_within(df, ask, radius, blocks).collect()} == want
     assert simhash.counted_within(df.limit(0), ask, 3).collect() == [] and simhash.counted_within(df, ask.limit(0), 3).collect() == []
 
 
