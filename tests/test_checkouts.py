@@ -17,6 +17,16 @@ def sh(cwd, *args):
 
 @pytest.fixture
 def family(spark, tmp_path):
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}  # plans are many and small here
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield _family(spark, tmp_path)
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _family(spark, tmp_path):
     one, two = tmp_path / "one", tmp_path / "two"
     one.mkdir()
     (one / "src").mkdir()
