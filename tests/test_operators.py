@@ -251,3 +251,38 @@ def test_drains_are_capped():
     assert changes.drained(["b", "a", "b"]) == [["a", "b"]] and changes.drained([]) == []
     many = [f"p{k:05}" for k in range(2_100)]
     assert [len(x) for x in changes.drained(many[::-1])] == [1024, 1024, 52] and sum(changes.drained(many), []) == many
+
+
+def test_names_are_resolved_in_the_own_file_first_and_hot_ones_are_dealt(spark, monkeypatch):
+    """One name with a tenth of all symbols: the same edges however few candidates a task takes, and tasks of even size."""
+    import random
+
+    rng = random.Random(1)
+    symbols = [(f"s{k}", "new" if k % 10 == 0 else f"n{k % 97}", f"f{k % 60}") for k in range(1000)]
+    calls = [(f"s{rng.randrange(1000)}", f"f{rng.randrange(90)}", rng.choice(["new", "new", f"n{rng.randrange(97)}", "none"]), "calls") for _ in range(2000)]
+    s = spark.createDataFrame(symbols, "chunk_id string, name string, file_path string")
+    c = spark.createDataFrame(calls, "src string, file_path string, to_name string, relation string")
+    want = set()
+    for src, path, name, relation in calls:
+        there = [(i, f) for i, n, f in symbols if n == name]
+        local = [i for i, f in there if f == path]
+        want |= {(src, i, relation) for i in (local or [i for i, _ in there])}
+    assert set(rows(graph.resolve(c, s))) == want
+    monkeypatch.setattr(graph, "HOT_NAME", 50)
+    dealt = graph.resolved(c, s)
+    assert set(rows(dealt.select("src", "dst", "relation"))) == want and dealt.count() == len(set(rows(dealt)))
+    sizes = [r["n"] for r in dealt.where("to_name = 'new'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 10 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_views_of_all_checkouts_need_no_cross_join(spark):
+    base = view(spark, [(p, f"b{p}") for p in "abcd"])
+    deltas = spark.createDataFrame([("k1", "a", "x"), ("k1", "b", None), ("k2", "e", "y"), ("other", "c", "z"), ("k2", "a", "x")], "checkout_id string, path string, version string")
+    ids = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "checkout_id string")
+    seen = versions.visible_all(base, deltas, ids)
+    for k in ("k1", "k2", "k3"):
+        assert rows(seen.where(F.col("checkout_id") == k).select("path", "version")) == rows(versions.visible(base, deltas.where(F.col("checkout_id") == k)))
+    assert seen.count() == sum(versions.visible(base, deltas.where(F.col("checkout_id") == k)).count() for k in ("k1", "k2", "k3"))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert versions.visible_sets(base, deltas).count() == 7  # as many as distinct versions, whatever the checkouts
