@@ -78,15 +78,18 @@ def _alike_together(rows: np.ndarray) -> np.ndarray:
 class Index:
     """Examples: ids, labels (0 or 1) and, as rows (doc, term, count) by example, the counts of vocabulary terms.
 
-    weight: what an example of each label stands for.
+    weight: what an example of each label stands for.  by_label: whether a term's weight also says how it goes with the
+    label (see factors); else it is plain idf.
     """
 
-    def __init__(self, vocabulary: list[str], ids: list, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray, weight: tuple[float, float]):
+    def __init__(self, vocabulary: list[str], ids: list, labels: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray, weight: tuple[float, float], by_label: bool = True):
         self.number = {t: i for i, t in enumerate(vocabulary)}
         n, terms = len(ids), len(vocabulary)
         labels = np.asarray(labels, np.int64)
         df = np.bincount(term, minlength=terms)
-        self.weight = (np.log((1 + n) / (1 + df)) + 1) * factors(df, np.bincount(term, labels[doc], terms), n, int(labels.sum()))
+        self.weight = np.log((1 + n) / (1 + df)) + 1
+        if by_label:
+            self.weight = self.weight * factors(df, np.bincount(term, labels[doc], terms), n, int(labels.sum()))
         w = self._weights(doc, term, count, n)
         often = np.argsort(-df, kind="stable")[:DENSE_ROWS]
         often = often[df[often] * 64 > n]
@@ -276,12 +279,13 @@ def distinct(ids: list, labels: list[int], shingles: list[np.ndarray]) -> list[i
     return stay
 
 
-def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int = EXAMPLES_EACH) -> Index:
+def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each: int = EXAMPLES_EACH, by_label: bool = True) -> Index:
     """The index of the labelled rows of docs where `usable` (a condition on labels) holds, at most `each` per label.
 
     Null ids and labels are left out; an id with several labels counts as its largest.  The sample is bounded, so
     it is broadcast to find its texts; all its term counts come to the driver.  Near copies of one label are one example
     (see distinct), so no group of copies outvotes the rest; their sets of shingles come to the driver too.  Without examples every score is 0.
+    by_label: False for plain TF-IDF, without term weights learnt from the labels.
     """
     all_labels = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in all_labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -326,7 +330,7 @@ def build(docs: DataFrame, labels: DataFrame, label: str, usable: Column, each:
     doc = np.repeat(np.arange(len(order), dtype=np.int64), [len(rows[k][0]) for k in order])
     names = vocabulary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
     del rows, codes, n, own, vocabulary, used
-    return Index(names, [ids[k] for k in order], np.array([ys[k] for k in order], np.int64), doc, term, count, weight)
+    return Index(names, [ids[k] for k in order], np.array([ys[k] for k in order], np.int64), doc, term, count, weight, by_label)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:

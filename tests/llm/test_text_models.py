@@ -431,3 +431,11 @@ def test_windows_over_cut_runs(monkeypatch):
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
         monkeypatch.setattr(decontaminate, "PATTERNS", many)
         assert [(h.tolist(), o) for h, o in decontaminate.Windows(items).scan(words)] == want
+
+
+def test_plain_weights_are_idf():
+    """Without the label a term weighs its idf, whatever examples it is in."""
+    doc, term = np.array([0, 0, 1, 2, 2, 3]), np.array([0, 1, 1, 0, 2, 1])
+    made = lambda by_label, labels: toxicity.Index(["a", "b", "c"], [1, 2, 3, 4], np.array(labels), doc, term, np.ones(6, np.int64), (1.0, 1.0), by_label)
+    want = np.log(5 / (1 + np.array([2, 3, 1]))) + 1
+    assert np.allclose(made(False, [1, 0, 1, 0]).weight, want) and np.allclose(made(False, [0, 0, 1, 1]).weight, want)
