@@ -95,11 +95,12 @@ def _fit(vectors: DataFrame, cells: int, seed: int, rounds: int) -> np.ndarray:
     return _unit(np.array(model.clusterCenters(), np.float64))
 
 
-def build(vectors: DataFrame, path: str, cells: int | None = None, dim: int | None = None, seed: int = 7, rounds: int = 8) -> VectorIndex:
+def build(vectors: DataFrame, path: str, cells: int | None = None, dim: int | None = None, seed: int = 7, rounds: int = 8, tune: bool = True) -> VectorIndex:
     """Writes an index of vectors (id, embedding) to a new folder and returns it.
 
     cells: by default the square root of the rows, at most MOST_CELLS.  Vectors that are null, zero, not finite or, of
     another length than the most frequent one (or dim) can't be found and aren't indexed.  ValueError without any vector.
+    tune: chooses how many cells a search visits, which exact searches don't need.
     """
     spark = vectors.sparkSession
     fine = vectors.where(usable(F.col("embedding"), dim)).select("id", "embedding")
@@ -115,7 +116,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, dim: int | No
     cells = max(1, min(MOST_CELLS, rows, cells or math.isqrt(rows)))
     centroids = _fit(fine, cells, seed, rounds) if cells > 1 else _unit(np.ones((1, dim)))
     index = add(VectorIndex(spark, path, centroids, np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)), fine)
-    if len(centroids) == 1:
+    if len(centroids) == 1 or not tune:
         return _saved(index)
     share = min(1.0, TUNED_ROWS / rows)
     sample = fine.sample(share, seed).limit(TUNED_ROWS) if share < 1 else fine
