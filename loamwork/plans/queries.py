@@ -86,7 +86,8 @@ def semantic_indexed(s, d):
 def semantic_recall(s, d):
     """How many of the nearest ten the nearest cells alone give."""
     index = vector_index.build(t.vectors(s, d), shared_folder(s, "vector-index"))
-    return vector_index.recall(vector_index.search(index, _asked(s, d), 10), vector_index.search(index, _asked(s, d), 10, exact=True))
+    near = vector_index.stored(vector_index.search(index, _asked(s, d), 10))
+    return vector_index.recall(near, vector_index.search(index, _asked(s, d), 10, exact=True, near=near))
 
 
 @query

@@ -86,6 +86,19 @@ def test_rows_added_later(spark, tmp_path):
         vector_index.build(df.where("id > 1000 AND id < 1000003"), str(tmp_path / "none"))
 
 
+def test_few_candidates_are_scored_again(spark, tmp_path, monkeypatch):
+    """Not the best of each cell, but of all cells together, and the nearest cells are searched once."""
+    df, counts, kept = vectors(spark, hot=30), [], vector_index._rescored
+    index = vector_index.build(df, str(tmp_path / "i"), cells=50, tune=False)
+    queries = df.where("id % 150 = 0 AND id < 3000").select(F.col("id").alias("query"), "embedding")
+    monkeypatch.setattr(vector_index, "_rescored", lambda found, *rest: counts.append(found.distinct().count()) or kept(found, *rest))
+    near = vector_index.stored(vector_index.search(index, queries, 10, probes=50))
+    found = rows_of(vector_index.search(index, queries, 10, exact=True, near=near))
+    monkeypatch.undo()
+    assert found == rows_of(near) == scanned(spark, df, queries, 10)
+    assert len(counts) == 2 and counts[0] <= 20 * 60 and counts[1] <= 20 * 30
+
+
 TEXTS = [(i, f"alpha w{i % 7} w{i % 11} " + "beta " * (i % 3) + f"rare{i}") for i in range(500)] + [(900, None), (901, ""), (902, "ALPHA, Beta!")]
 
 
